@@ -19,33 +19,62 @@ KINDS = ("character", "token", "word", "sentence", "line", "paragraph", "heading
 OUT_BYTES = 8 << 20
 
 # Abbreviations whose full stop ends no sentence; single letters never do.
-ABBREVIATIONS = (
+ABBREVIATIONS = frozenset((
     "Abb", "Bd", "Dr", "Fig", "Mr", "Mrs", "Ms", "Nr", "Prof", "St", "Tab", "al", "approx", "bzw", "ca", "cf", "dr", "env", "etc",
     "ex", "fig", "no", "nr", "núm", "op", "pp", "resp", "sog", "usw", "vgl", "vol", "vs",
-)
-_NOT_AFTER = "".join(rf"(?<!\b{a})" for a in (*ABBREVIATIONS, r"\w"))
-_SENTENCE = re.compile(rf"(?:{_NOT_AFTER}\.|[!?…])[\"')\]»”’]*(?=\s)|[。！？][」』”）]*")
-_PARAGRAPH = re.compile(r"\n(?:[^\S\n]*\n)+")
+))
+_ENDS = re.compile(r"(?:[.!?…](?=[\"')\]»”’]*\s)[\"')\]»”’]*|[。！？][」』”）]*)")
 _HEADING = re.compile(r"^#{1,6}[ \t]+\S", re.M)
 _SPACES = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_IS_SPACE = np.zeros(0x3001, bool)
+_IS_SPACE = np.zeros(0x3002, bool)
 _IS_SPACE[_SPACES] = True
+_CLOSING = np.zeros(128, bool)
+_CLOSING[[ord(c) for c in "\"')]"]] = True
+
+
+def _abbreviated(text: str, dot: int) -> bool:
+    """Whether the word before a full stop is an abbreviation or a single letter."""
+    word = text[max(0, dot - 8) : dot].split()[-1:] or [""]
+    word = word[0].lstrip("([\"'«„“").rpartition(".")[2]
+    return len(word) <= 1 and word.isalpha() or word in ABBREVIATIONS
+
+
+def _sentence_ends(text: str, codes: np.ndarray, space: np.ndarray) -> list[int]:
+    if len(codes) < 2:
+        return []
+    if not text.isascii():
+        return [m.end() for m in _ENDS.finditer(text) if m[0][0] != "." or not _abbreviated(text, m.start())]
+    at = np.flatnonzero((codes == 46) | (codes == 33) | (codes == 63))
+    end = at + 1
+    for _ in range(3):  # closing quotes and brackets
+        inside = end < len(codes)
+        end = end + (inside & _CLOSING[codes[np.minimum(end, len(codes) - 1)]])
+    ok = (end < len(codes)) & space[np.minimum(end, len(codes) - 1)]
+    stop = codes[at[ok]] == 46
+    return [e for e, a, s in zip(end[ok].tolist(), at[ok].tolist(), stop.tolist()) if not s or not _abbreviated(text, a)]
 
 
 def strengths(text: str) -> np.ndarray:
     """How good a cut before each character, and after the last, is."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if text.isascii():
+        codes = np.frombuffer(text.encode(), np.uint8)
+        space = _IS_SPACE[codes]
+    else:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = _IS_SPACE[np.minimum(codes, 0x3001)]
     s = np.full(len(codes) + 1, TOKEN, np.uint8)
-    space = _IS_SPACE[np.minimum(codes, 0x3000)] & (codes <= 0x3000)
     s[:-1][space] = WORD
     s[1:][space] = WORD
-    for m in _SENTENCE.finditer(text):
-        s[m.end()] = SENTENCE
-    s[1:][codes == 10] = LINE
-    for m in _PARAGRAPH.finditer(text):
-        s[m.end()] = PARAGRAPH
-    for m in _HEADING.finditer(text):
-        s[m.start()] = HEADING
+    s[_sentence_ends(text, codes, space)] = SENTENCE
+    lines = np.flatnonzero(codes == 10)
+    if len(lines):
+        s[lines + 1] = LINE
+        # a line of white space alone: no other character since the line break before
+        written = np.cumsum(~space)
+        s[lines[1:][written[lines[1:]] == written[lines[:-1]]] + 1] = PARAGRAPH
+    if "#" in text:
+        for m in _HEADING.finditer(text):
+            s[m.start()] = HEADING
     return s
 
 
@@ -79,10 +108,23 @@ def cut(text: str, tokens: Tokens, settings: list[tuple[str, int, int]]) -> Iter
         s = np.where(clean, strengths(text)[offsets], INSIDE)
         table = RangeMaximum(s, max(over) + 1)
 
-    def even(k: int) -> bool:
-        """Whether encoding starts anew at this boundary in any case."""
-        p = int(offsets[k])
-        return k in (0, n) or (text[p] == " " and not text[p + 1 : p + 2].isspace() and p + 1 < len(text))
+    def size_of(start: int, end: int) -> int:
+        """Tokens of the piece encoded on its own. Between white space and anything else encoding starts anew,
+        but for a space, which goes with the word after it; there the piece's tokens are the text's. Only
+        white space at the end of a piece, and words cut in two, are encoded again."""
+        p, q = int(offsets[start]), int(offsets[end])
+        if start and (text[p - 1].isspace() == text[p].isspace() or text[p - 1] == " "):
+            return tokens.count(text[p:q])
+        if end == n or not text[q - 1].isspace() and text[q].isspace():
+            return end - start
+        if text[q].isspace() or text[q - 1] in " \x1c\x1d\x1e\x1f":
+            return tokens.count(text[p:q])
+        if not text[q - 2 : q - 1].isspace():
+            return end - start
+        r = q - 1
+        while r > p and text[r - 1].isspace():
+            r -= 1
+        return end - start - tokens.short(text[r : q - 1]) - tokens.short(text[q - 1]) + tokens.short(text[r:q])
 
     for name, most, overlap in settings:
         if n <= most:
@@ -102,10 +144,7 @@ def cut(text: str, tokens: Tokens, settings: list[tuple[str, int, int]]) -> Iter
                         # only tiny limits come here: the nearest cut before, else the first one after
                         end = next((k for k in range(hi, start + overlap, -1) if clean[k]), 0) or next(k for k in range(hi + 1, n + 1) if clean[k])
                         strength = TOKEN
-                size = end - start
-                if even(start) and even(end):
-                    break
-                size = tokens.count(text[offsets[start] : offsets[end]])
+                size = size_of(start, end)
                 if size <= most or end - start <= overlap + 1:
                     break
                 # a word cut in two can take more tokens than its parts had: end earlier

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from operator import itemgetter
 
 import numpy as np
 
@@ -23,10 +24,21 @@ _UNEVEN = re.compile(r" \s|\s ")
 _SPLIT = re.compile(r" (?=\S)")
 
 
+def _even(text: str) -> bool:
+    """Whether every space stands between two non-spaces, or starts the text."""
+    if text.isascii() and "\t" not in text and "\r" not in text:
+        return not ("  " in text or "\n " in text or " \n" in text or text[-1:] == " " or any(c in text for c in "\v\f\x1c\x1d\x1e\x1f"))
+    return not _UNEVEN.search(text) and text[-1:] != " "
+
+
 def pieces(text: str) -> list[str]:
     """The text parted at each space that a non-space follows, without these spaces. The split pattern never
     reaches over such a place, so each piece, with its space before it, is encoded on its own."""
-    return _SPLIT.split(text) if _UNEVEN.search(text) or text[-1:] == " " else text.split(" ")
+    return text.split(" ") if _even(text) else _SPLIT.split(text)
+
+
+def _look_up(memo: dict, keys: list[str]) -> tuple:
+    return itemgetter(*keys)(memo) if len(keys) > 1 else (memo[keys[0]],) if keys else ()
 
 
 class _Memo(dict):
@@ -72,11 +84,15 @@ class Tokens:
     def _chars_of(self, s: str) -> bytes:
         return self.chars[self.encoding.encode_ordinary(s)].tobytes()
 
+    def short(self, text: str) -> int:
+        """Tokens of a word or a run of white space."""
+        return self._first[text]
+
     def count(self, text: str) -> int:
         if not text:
             return 0
         first, *rest = pieces(text)
-        return (self._first[first] if first else 0) + sum(map(self._rest.__getitem__, rest))
+        return (self._first[first] if first else 0) + sum(_look_up(self._rest, rest))
 
     def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Character offset before each token and after the last, and whether the text can be cut there
@@ -84,7 +100,7 @@ class Tokens:
         if not text:
             return np.zeros(1, np.int64), np.ones(1, bool)
         first, *rest = pieces(text)
-        packed = (self._first_chars[first] if first else b"") + b"".join(map(self._rest_chars.__getitem__, rest))
+        packed = (self._first_chars[first] if first else b"") + b"".join(_look_up(self._rest_chars, rest))
         each = np.frombuffer(packed, np.uint16)
         offsets = np.zeros(len(each) + 1, np.int64)
         np.cumsum(each & (INSIDE - 1), out=offsets[1:])
