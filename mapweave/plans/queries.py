@@ -1,14 +1,30 @@
-"""Queries over the project's tables."""
+"""Queries over the project's tables, one or more for each operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.operators import orphans
+from mapweave.functions import text as tx
+from mapweave.operators import calibrate, cascade, feedback, fhir, match, normalize, orphans, profile
+from mapweave.operators.kb import KnowledgeBase, row_rank
+from mapweave.streaming import feedback as streaming
 from mapweave.util import read_table
 
+WEIGHTS = {"biobert": 0.4, "magneto": 0.6}
+EQUIVALENT = [("Condition.code", "Condition.bodySite"), ("Patient.gender", "Patient.extension.race")]
+FIXES = [("Observation.valueQuantity", "Observation.component.valueQuantity", "update"), ("Procedure.code", "", "update"), ("Specimen.parent", "", "delete")]
 
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "feedback").where(F.col("source").isNotNull())
+
+
+def _kb(spark: SparkSession, d: str) -> KnowledgeBase:
+    return KnowledgeBase.from_tables(spark, d)
+
+
+# foreign keys
 def _references(spark: SparkSession, d: str):
     tables = {
         "sources": orphans.Table(read_table(spark, d, "sources"), "ord", "id", "deleted_at", "loaded_at"),
@@ -30,9 +46,458 @@ def p5_periods(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(tables, refs, orphans.orphan_references(tables, refs))
 
 
+# knowledge base
+def kb_lookup(spark, d):
+    return _kb(spark, d).lookup(_names(spark, d).select(F.col("source").alias("term")))
+
+
+def kb_lookup_context(spark, d):
+    terms = _names(spark, d).select(F.col("source").alias("term"), F.coalesce("source_context", F.lit("")).alias("context"), F.when(F.col("tier") == "content", "geo").otherwise("").alias("schema"))
+    return _kb(spark, d).lookup_context(terms)
+
+
+def kb_reverse_lookup(spark, d):
+    return _kb(spark, d).lookup_reverse(_names(spark, d).where(F.col("matcher") == "rule").select(F.lower("proposed_target").alias("path")).where("path IS NOT NULL"))
+
+
+def kb_filter_tier(spark, d):
+    return _kb(spark, d).filter_tier("entity").select("id", "source", "destination")
+
+
+def kb_filter_schema(spark, d):
+    return _kb(spark, d).filter_schema("geo").select("id", "source", "destination")
+
+
+def kb_tier_candidates(spark, d):
+    return _kb(spark, d).tier_candidates("content")
+
+
+def kb_stats(spark, d):
+    return _kb(spark, d).stats()
+
+
+def kb_training_pairs(spark, d):
+    return _kb(spark, d).training_pairs()
+
+
+def kb_expertise(spark, d):
+    return _kb(spark, d).expertise().select("term", F.array_join("paths", " | ").alias("paths"))
+
+
+def content_lookup(spark, d):
+    values = read_table(spark, d, "cases").select(F.col("primary_diagnosis").alias("value"), F.lit("primary_diagnosis").alias("category")).where("value IS NOT NULL")
+    return _kb(spark, d).lookup_content(values, category=True).select("value", "id", "code", F.array_join("paths", " | ").alias("paths"))
+
+
+def content_by_path(spark, d):
+    return _kb(spark, d).content_by_path(read_table(spark, d, "mapping_entries").select(F.col("destination").alias("path")).where("path IS NOT NULL"))
+
+
+def kb_merge(spark, d):
+    return _kb(spark, d).merge(read_table(spark, d, "mapping_entries").where("source_term IS NOT NULL AND destination IS NOT NULL")).select("id", "destination", "tier", "n")
+
+
+def kb_merge_counted(spark, d):
+    entries = read_table(spark, d, "mapping_entries").where("source_term IS NOT NULL AND destination IS NOT NULL")
+    return _kb(spark, d).merge(entries, case_sensitive=True, min_count=2).select("id", "destination", "n")
+
+
+def kb_without_destination(spark, d):
+    return _kb(spark, d).without_destination().select("id", "source")
+
+
+def kb_multi_destination(spark, d):
+    return _kb(spark, d).multi_destination_audit()
+
+
+def kb_counts(spark, d):
+    return _kb(spark, d).counts()
+
+
+def kb_top_destinations(spark, d):
+    return _kb(spark, d).top_destinations()
+
+
+def kb_repair_counts(spark, d):
+    return _kb(spark, d).repair_counts()
+
+
+def kb_path_fixes(spark, d):
+    rules = spark.createDataFrame(FIXES, "old_destination string, new_destination string, action string")
+    fixed, kept = _kb(spark, d).apply_path_fixes(rules)
+    return fixed.join(kept.select(F.col("id").alias("source_id")), "source_id").groupBy("destination").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kb_delete_like(spark, d):
+    return _kb(spark, d).delete_like("%SPECIMEN%").groupBy("destination").agg(F.count(F.lit(1)).alias("n"))
+
+
+# conflicts and paths
+def conflicts_destination(spark, d):
+    return normalize.destination_conflicts(_kb(spark, d).mappings())
+
+
+def conflicts_schema(spark, d):
+    return normalize.schema_conflicts(_kb(spark, d).mappings())
+
+
+def multi_destinations(spark, d):
+    return normalize.multi_destinations(_kb(spark, d).mappings())
+
+
+def resolve_priority(spark, d):
+    return normalize.resolve(_kb(spark, d).mappings(), "priority")
+
+
+def resolve_frequency(spark, d):
+    return normalize.resolve(_kb(spark, d).mappings(), "frequency")
+
+
+def resolve_equivalent(spark, d):
+    return normalize.equivalent(_kb(spark, d).mappings(), EQUIVALENT)
+
+
+def canonical_rows(spark, d):
+    m = _kb(spark, d).mappings()
+    return normalize.canonical_rows(normalize.auto_resolve(m, EQUIVALENT))
+
+
+def normalization_report(spark, d):
+    m = _kb(spark, d).mappings()
+    return normalize.report(m, normalize.auto_resolve(m, EQUIVALENT))
+
+
+def hitl_export(spark, d):
+    m = _kb(spark, d).mappings()
+    return normalize.hitl_export(m, normalize.resolve(m, "priority"))
+
+
+def ground_truth_metrics(spark, d):
+    truth = read_table(spark, d, "mapping_entries").where("source_term IS NOT NULL AND destination IS NOT NULL")
+    truth = truth.select(F.regexp_replace("source_term", "_r1$", "").alias("term"), F.col("source_schema").alias("schema"), "destination")
+    return normalize.ground_truth_metrics(_kb(spark, d).mappings(), truth)
+
+
+def valid_paths(spark, d):
+    p = read_table(spark, d, "destinations").select("destination").distinct()
+    return p.select("destination", normalize.is_valid_path(F.col("destination")).alias("valid"))
+
+
+def passthrough_fix(spark, d):
+    fixed = normalize.fix_passthrough(_kb(spark, d).mappings())
+    return fixed.groupBy(F.col("reason").isNotNull().alias("changed"), "focus_ref").agg(F.count(F.lit(1)).alias("n"))
+
+
+def focus_refs(spark, d):
+    s = read_table(spark, d, "sources").select("source_context", "source").distinct()
+    return s.select("source_context", "source", normalize.focus_ref(F.col("source_context"), F.col("source")).alias("focus"))
+
+
+def path_validation(spark, d):
+    have = read_table(spark, d, "destinations").where(F.col("destination").contains(".")).select(F.split_part("destination", F.lit("."), F.lit(1)).alias("class"), F.split_part("destination", F.lit("."), F.lit(2)).alias("slot"))
+    fields = have.where(~F.col("class").isin("Procedure")).where(F.col("slot") != "identifier").distinct()
+    return normalize.validate_path(read_table(spark, d, "mapping_entries").select(F.col("destination").alias("path")).where("path IS NOT NULL"), fields)
+
+
+# matching
+def _targets(spark, d):
+    return _names(spark, d).where("proposed_target IS NOT NULL").groupBy(F.col("proposed_target").alias("target")).agg(F.min("ord").alias("ord"))
+
+
+def rule_match_topk(spark, d):
+    return match.rule_match(_kb(spark, d), _names(spark, d).select(F.col("source").alias("term")), _targets(spark, d))
+
+
+def rule_match_metadata(spark, d):
+    return match.rule_match_metadata(_kb(spark, d), _names(spark, d).select(F.col("source").alias("term")), _targets(spark, d))
+
+
+def fuzzy_lookup(spark, d):
+    found = match.fuzzy_lookup(_names(spark, d).select(F.col("source").alias("query")), read_table(spark, d, "sources").where("source IS NOT NULL").select("source"))
+    return found.select("query", "source", F.round("score", 6).alias("score"))
+
+
+def expert_match(spark, d):
+    return match.expert_match(_kb(spark, d), _names(spark, d).select(F.col("source").alias("term")), _targets(spark, d))
+
+
+def _candidates(spark, d):
+    m = read_table(spark, d, "match_candidates").where("source_field IS NOT NULL")
+    return m.withColumn("target", F.concat_ws(".", "target_entity", "target_field"))
+
+
+def ensemble_scores(spark, d):
+    return _candidates(spark, d).select("ord", F.round(match.ensemble(F.col("embedder_scores"), WEIGHTS), 6).alias("score"))
+
+
+def confidence_levels(spark, d):
+    m = _candidates(spark, d).where("score IS NOT NULL AND NOT isnan(score)")
+    return m.groupBy("tier", match.confidence_level(F.col("score")).alias("level"), match.route(F.col("score")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dedupe_matches(spark, d):
+    m = _candidates(spark, d).where("score IS NOT NULL AND NOT isnan(score)").select("source_entity", "source_field", "target_entity", "target_field", "tier", "score", "ord")
+    return match.dedupe_matches(m, ["source_entity", "source_field", "target_entity", "target_field"])
+
+
+def tier_run(spark, d):
+    m = _candidates(spark, d).select("source_entity", "source_field", "target_entity", "target_field", "tier", "embedder_scores", "ord")
+    acted, _ = cascade.run_tiers(m, WEIGHTS)
+    return acted.select("source_entity", "source_field", "target_entity", "target_field", "tier", F.round("score", 6).alias("score"), "level", "requires_review", "rank")
+
+
+def nearest_vectors(spark, d):
+    e = read_table(spark, d, "embeddings")
+    return match.nearest(e, e.where(F.col("vec_id") % 100 == 0)).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def rank_metrics(spark, d):
+    m = _candidates(spark, d).where("score IS NOT NULL AND NOT isnan(score)")
+    best = m.groupBy("tier", "source_field", "target").agg(F.max("score").alias("score"), F.min("ord").alias("ord"), F.bool_or(F.coalesce("user_feedback", F.lit(False))).alias("hit"))
+    ranked = row_rank(best, ["tier", "source_field"], [F.desc("score"), F.col("ord")])
+    q = ranked.groupBy("tier", "source_field").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("rank"))
+    r = calibrate.rank_metrics(q, ["tier"])
+    return r.select("tier", "n", *(F.round(c, 6).alias(c) for c in ("p_at_1", "r_at_k", "mrr", "f1")))
+
+
+def top1_outcomes(spark, d):
+    p = _candidates(spark, d).where("score IS NOT NULL AND NOT isnan(score)").select(F.col("source_field").alias("id"), "target", "score", "ord")
+    f = feedback.clean(read_table(spark, d, "feedback")).where("decision = 'accept' AND proposed_target IS NOT NULL")
+    return calibrate.top1_outcomes(p, f.select(F.col("source").alias("id"), F.col("proposed_target").alias("target"))).select("id", "target", "score", "correct")
+
+
+# calibration
+def _keyed(spark, d):
+    return calibrate.explode_keys(feedback.to_calibration(feedback.clean(read_table(spark, d, "feedback"))))
+
+
+def calib_keys(spark, d):
+    return calibrate.key_stats(_keyed(spark, d))
+
+
+def _curve(df):
+    return df.select("key", "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("mean_conf", 9).alias("mean_conf"), F.round("accuracy", 9).alias("accuracy"), "n")
+
+
+def calib_curve(spark, d):
+    return _curve(calibrate.curves(_keyed(spark, d)))
+
+
+def calib_curve_compat(spark, d):
+    return _curve(calibrate.curves(_keyed(spark, d), compat=True))
+
+
+def calib_ece(spark, d):
+    return calibrate.ece(_keyed(spark, d)).select("key", "n", *(F.round(c, 9).alias(c) for c in ("accuracy", "mean_conf", "ece")), "verdict")
+
+
+def calib_scores(spark, d):
+    f = feedback.clean(read_table(spark, d, "feedback")).where("confidence IS NOT NULL AND NOT isnan(confidence) AND matcher IS NOT NULL")
+    scores = f.select("id", "matcher", "tier", F.lit("").alias("schema"), F.coalesce("source_context", F.lit("")).alias("context"), "confidence")
+    return calibrate.calibrate_scores(scores, _keyed(spark, d)).select("id", "confidence", "key_used", F.round("calibrated", 6).alias("calibrated"))
+
+
+# profiling
+def _cells(spark, d, table="cases"):
+    return profile.unpivot(read_table(spark, d, table), "ord")
+
+
+def profile_columns(spark, d):
+    return profile.column_stats(_cells(spark, d))
+
+
+def profile_samples(spark, d):
+    return profile.first_samples(_cells(spark, d)).select("column_name", F.array_join("samples", " | ").alias("samples"))
+
+
+def _columns(spark, d):
+    out = None
+    for t in ("cases", "content_values", "sources", "destinations"):
+        cells = _cells(spark, d, t)
+        c = profile.column_stats(cells).join(profile.first_samples(cells, 10), "column_name", "left").withColumn("entity", F.lit(t))
+        out = c if out is None else out.unionByName(c)
+    c = out.withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    return c.withColumn("is_identifier", profile.is_identifier(F.col("column_name"), F.col("samples"))).withColumn("is_domain", profile.is_domain_field(F.col("column_name")))
+
+
+def content_types(spark, d):
+    c = profile.content_types(_columns(spark, d))
+    k = [F.col(x) for x in ("column_name", "dtype", "pattern", "vocabulary")]
+    return c.select("entity", "column_name", "dtype", "pattern", "vocabulary", profile.column_group(*k).alias("column_group"), profile.recommendation(*k).alias("advice"), tx.archetype(k[0], k[1]).alias("archetype"), tx.column_unit(k[0]).alias("unit"))
+
+
+def content_types_compat(spark, d):
+    return profile.content_types(_columns(spark, d), compat=True).select("entity", "column_name", "dtype", "pattern", "vocabulary")
+
+
+def target_candidates(spark, d):
+    return profile.target_candidates(_columns(spark, d))
+
+
+def table_profiles(spark, d):
+    return profile.table_profile(profile.content_types(_columns(spark, d)))
+
+
+def column_relations(spark, d):
+    return profile.relationships(_columns(spark, d))
+
+
+def profile_summary(spark, d):
+    return profile.summary(_columns(spark, d))
+
+
+# nested records and texts
+def _records(spark, d):
+    v = read_table(spark, d, "content_values")
+    coding = F.array(F.struct(F.coalesce("code_system", F.lit("")).alias("system"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("source_value", F.lit("")).alias("display")))
+    body = F.to_json(F.struct(
+        F.lit("Observation").alias("resourceType"), F.array(F.struct(coding.alias("coding"))).alias("category"),
+        F.array(F.struct(F.lit("https://gdc.cancer.gov/value_id").alias("system"), F.col("id").cast("string").alias("value"))).alias("identifier"),
+        F.struct(F.concat(F.lit("Patient/"), "id").alias("reference")).alias("subject"),
+    ))
+    return fhir.parse_records(v.select("ord", F.lit("Observation").alias("resource"), F.lit("GDC").alias("source"), body.alias("json")))
+
+
+def _nodes(spark, d):
+    return fhir.walk(_records(spark, d), ("ord", "resource", "source"))
+
+
+def json_field_usage(spark, d):
+    events = read_table(spark, d, "events").select(F.col("event_id").alias("ord"), F.lit("Event").alias("resource"), F.col("props").alias("json"))
+    nodes = fhir.walk(fhir.parse_records(events), ("ord", "resource"))
+    return fhir.field_usage(nodes).select("path", "n", "resource", F.array_join("samples", "|").alias("samples"))
+
+
+def json_coding_usage(spark, d):
+    return fhir.coding_usage(fhir.codings(_nodes(spark, d)))
+
+
+def json_coding_systems(spark, d):
+    return fhir.coding_systems(fhir.coding_usage(fhir.codings(_nodes(spark, d))))
+
+
+def json_reference_usage(spark, d):
+    return fhir.reference_usage(fhir.references(_nodes(spark, d)))
+
+
+def json_pair_usage(spark, d):
+    return fhir.pair_usage(fhir.mapping_pairs(_nodes(spark, d), F.col("source"))).select("schema", "term", "path", "n", "pair_type", "tier")
+
+
+def url_terms(spark, d):
+    u = read_table(spark, d, "destinations").select(F.col("dest_system").alias("url")).where("url IS NOT NULL").distinct()
+    return u.select("url", tx.url_schema(F.col("url")).alias("schema"), tx.url_term(F.col("url")).alias("term"))
+
+
+def name_parts(spark, d):
+    s = read_table(spark, d, "sources").where("source IS NOT NULL").select("source").distinct()
+    return s.select("source", tx.stem(F.col("source")).alias("stem"), F.array_join(F.array_sort(tx.tokens(F.col("source"))), ",").alias("tokens"), tx.safe_id(F.col("source")).alias("safe_id"))
+
+
+def name_variants(spark, d):
+    s = read_table(spark, d, "sources").where("source IS NOT NULL").select("source").distinct()
+    return s.select("source", F.explode(tx.query_variants(F.col("source"))).alias("variant"))
+
+
+def characteristics(spark, d):
+    s = read_table(spark, d, "sources").where(F.col("source").contains(": ")).select("ord", F.explode(tx.characteristics(F.col("source"))).alias("key", "value"))
+    return s
+
+
+def minted_ids(spark, d):
+    s = read_table(spark, d, "sources").where("id IS NOT NULL").select("id").distinct()
+    return s.select("id", tx.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("id")).alias("uuid"))
+
+
+def category_paths(spark, d):
+    c = read_table(spark, d, "content_values").select("source_category").where("source_category IS NOT NULL").distinct()
+    return c.select("source_category", fhir.infer_path(F.col("source_category")).alias("path"))
+
+
+# feedback
+def feedback_stats(spark, d):
+    return feedback.stats(feedback.clean(read_table(spark, d, "feedback")))
+
+
+def feedback_recent(spark, d):
+    return feedback.recent(feedback.clean(read_table(spark, d, "feedback")), 50).select("id", "match_id", "decision")
+
+
+def feedback_new_mappings(spark, d):
+    return feedback.new_mappings(feedback.clean(read_table(spark, d, "feedback")))
+
+
+def consensus_vote(spark, d):
+    f = feedback.clean(read_table(spark, d, "feedback")).where("user_id IS NOT NULL AND confidence IS NOT NULL AND NOT isnan(confidence)")
+    target = F.when(F.col("decision") == "correct", F.col("ground_truth")).otherwise(F.col("proposed_target"))
+    p = f.where("decision <> 'reject'").select(F.col("match_id").alias("item"), target.alias("target"), F.col("user_id").alias("voter"), "confidence").where("target IS NOT NULL AND target <> ''")
+    return feedback.consensus_vote(p).select("item", "target", "votes", "mean_confidence", "rank")
+
+
+def stream_feedback_stats(spark, d):
+    f = read_table(spark, d, "feedback")
+    stream = streaming.stream_stats(streaming.read_stream(spark, f"{d}/feedback.parquet*", f.schema))
+    return streaming.run_available(stream, "mapweave_stream_stats")
+
+
+def stream_windows(spark, d):
+    f = read_table(spark, d, "feedback")
+    stream = streaming.windowed_decisions(streaming.read_stream(spark, f"{d}/feedback.parquet*", f.schema), width="7 days", late="400 days")
+    return streaming.run_available(stream, "mapweave_stream_windows", "append")
+
+
+# cascades
+def _mapped(spark, d):
+    return cascade.map_columns(_kb(spark, d), _names(spark, d).select(F.col("source").alias("name")))
+
+
+def cascade_map(spark, d):
+    return _mapped(spark, d)
+
+
+def cascade_constrained(spark, d):
+    c = _names(spark, d).groupBy(F.col("source").alias("name")).agg(F.array_sort(F.collect_set("proposed_target")).alias("candidates"))
+    return cascade.map_columns_constrained(_kb(spark, d), c)
+
+
+def cascade_coverage(spark, d):
+    return cascade.coverage(_mapped(spark, d))
+
+
+def _judged(spark, d):
+    f = feedback.clean(read_table(spark, d, "feedback")).where("source IS NOT NULL")
+    path = F.when(F.col("decision") == "correct", F.col("ground_truth")).when(F.col("decision") == "accept", F.col("proposed_target"))
+    gold = f.groupBy(F.col("source").alias("name")).agg(F.array_compact(F.array_sort(F.collect_set(path))).alias("accept"), F.min("tier").alias("stratum")).where(F.size("accept") > 0)
+    return gold.join(_mapped(spark, d), "name").select("name", "stratum", cascade.verdict(F.col("target"), F.col("accept")).alias("verdict"))
+
+
+def eval_verdicts(spark, d):
+    return _judged(spark, d)
+
+
+def eval_report(spark, d):
+    return cascade.eval_report(_judged(spark, d))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p5_periods(spark, d)
+    """Map the reviewed columns: exact, then fuzzy, else unmapped."""
+    return cascade_map(spark, d)
+
+
+_ALL = (
+    p5_found, p5_periods,
+    kb_lookup, kb_lookup_context, kb_reverse_lookup, kb_filter_tier, kb_filter_schema, kb_tier_candidates, kb_stats, kb_training_pairs, kb_expertise, content_lookup,
+    content_by_path, kb_merge, kb_merge_counted, kb_without_destination, kb_multi_destination, kb_counts, kb_top_destinations, kb_repair_counts, kb_path_fixes, kb_delete_like,
+    conflicts_destination, conflicts_schema, multi_destinations, resolve_priority, resolve_frequency, resolve_equivalent, canonical_rows, normalization_report, hitl_export,
+    ground_truth_metrics, valid_paths, passthrough_fix, focus_refs, path_validation,
+    rule_match_topk, rule_match_metadata, fuzzy_lookup, expert_match, ensemble_scores, confidence_levels, dedupe_matches, tier_run, nearest_vectors, rank_metrics, top1_outcomes,
+    calib_keys, calib_curve, calib_curve_compat, calib_ece, calib_scores,
+    profile_columns, profile_samples, content_types, content_types_compat, target_candidates, table_profiles, column_relations, profile_summary,
+    json_field_usage, json_coding_usage, json_coding_systems, json_reference_usage, json_pair_usage, url_terms, name_parts, name_variants, characteristics, minted_ids, category_paths,
+    feedback_stats, feedback_recent, feedback_new_mappings, consensus_vote, stream_feedback_stats, stream_windows,
+    cascade_map, cascade_constrained, cascade_coverage, eval_verdicts, eval_report,
+)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_periods)}
+    return {f.__name__: f for f in _ALL}
