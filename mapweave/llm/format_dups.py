@@ -159,6 +159,10 @@ def format_duplicates(df: DataFrame, text: str, row_id: str, ignore: list[str])
 
 
 def collapse_format_duplicates(df: DataFrame, text: str, row_id: str, ignore: list[str]) -> DataFrame:
-    """The records themselves: the first copy of each, all its columns as written, and `copies`."""
+    """The records themselves: the first copy of each, all its columns as written, and their number in
+    `copies` (with `_` behind it while the table has such a column)."""
+    name = "copies"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
     first = format_duplicates(df, text, row_id, ignore).where(F.col("first_id") == F.col("row_id"))
-    return df.join(first.select(F.col("row_id").alias(row_id), "copies"), row_id)
+    return df.join(first.select(F.col("row_id").alias(row_id), F.col("copies").alias(name)), row_id)

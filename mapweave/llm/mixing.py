@@ -24,7 +24,6 @@ def count_tokens(documents: DataFrame, text: str, vocabulary: str = DEFAULT_VOCA
     """documents without `text`, with `tokens` and `text_key`, a digest by which equal texts are known."""
     rest = [c for c in documents.columns if c != text]
     given = documents.select(*rest, F.sha2(text, 256).alias("text_key"), F.col(text))
-    kinds = given.drop(text).schema.simpleString()[7:-1].replace(":", " ")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens.of(vocabulary)

@@ -133,6 +133,7 @@ def cut(text: str, tokens: Tokens, settings: list[tuple[str, int, int]]) -> Iter
         start, shared, number = 0, 0, 0
         while True:
             lo, hi = start + max(overlap + 1, (most + 1) // 2), min(start + most, n)
+            before = n + 1
             while True:
                 if hi == n and n - start <= most:
                     strength, end = HEADING, n
@@ -145,11 +146,11 @@ def cut(text: str, tokens: Tokens, settings: list[tuple[str, int, int]]) -> Iter
                         end = next((k for k in range(hi, start + overlap, -1) if clean[k]), 0) or next(k for k in range(hi + 1, n + 1) if clean[k])
                         strength = TOKEN
                 size = size_of(start, end)
-                if size <= most or end - start <= overlap + 1:
+                if size <= most or end >= before:
                     break
-                # a word cut in two can take more tokens than its parts had: end earlier
-                hi = max(start + overlap + 1, end - max(1, size - most))
-                if end <= hi:
+                # a word cut in two can take more tokens than its parts had: end earlier, while that helps
+                before, hi = end, end - max(1, size - most)
+                if hi <= start + overlap:
                     break
             yield name, number, int(offsets[start]), int(offsets[end]), size, shared, strength
             if end == n:
