@@ -50,7 +50,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     import pyarrow as pa
 
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def number(batches):
         for batch in batches:
