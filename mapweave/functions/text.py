@@ -257,3 +257,13 @@ def parse_answer(content: Column, candidates: Column | None = None) -> Column:
     number = F.try_to_number(F.regexp_extract(content, r"(?i)CONFIDENCE:\s*([\d.]+)", 1), F.lit("999999999D999999999")).cast("double")
     why = F.regexp_extract(content, r"(?is)REASONING:\s*(.+)", 1)
     return F.struct(first_of(cases, "unknown").alias("target"), F.coalesce(number, F.lit(0.5)).alias("confidence"), F.when(why != "", F.trim(why)).otherwise(content).alias("reasoning"))
+
+
+def rules_section(c: Column, title: str) -> Column:
+    """The parts of a markdown text under `### ` headers that name the title, letter case aside; the whole
+    text for an empty title."""
+    if not title:
+        return c
+    parts = F.split(c, r"(?m)^(?=### )")
+    named = F.filter(parts, lambda p: p.startswith("### ") & F.lower(F.split_part(p, F.lit("\n"), F.lit(1))).contains(title.lower()))
+    return F.array_join(named, "")

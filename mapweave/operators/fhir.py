@@ -218,3 +218,12 @@ def key_path(key: Column, category: Column) -> Column:
         ],
         infer_path(category),
     )
+
+
+def summary_rows(usage: DataFrame, min_count: int = 5) -> DataFrame:
+    """Pairs seen at least min_count times, the commonest first."""
+    return usage.where(F.col("n") >= min_count).orderBy(F.desc("n"), "schema", "term", "path")
+
+
+def export_summary(usage: DataFrame, path: str, min_count: int = 5) -> None:
+    summary_rows(usage, min_count).write.mode("overwrite").json(path)

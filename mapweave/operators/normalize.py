@@ -203,3 +203,11 @@ def ground_truth_metrics(mappings: DataFrame, truth: DataFrame) -> DataFrame:
 def last_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc("ord"))
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+
+
+def ground_truth(entries: DataFrame, usage: DataFrame, min_count: int = 3) -> DataFrame:
+    """(term, schema, destination, origin): curated entries (source_term, source_schema, destination), and mined
+    pairs (term, schema, path, n) seen often enough, each once."""
+    a = entries.where("source_term IS NOT NULL AND destination IS NOT NULL").select(F.col("source_term").alias("term"), F.col("source_schema").alias("schema"), "destination", F.lit("curated").alias("origin"))
+    b = usage.where(F.col("n") >= min_count).select("term", "schema", F.col("path").alias("destination"), F.lit("mined").alias("origin"))
+    return a.unionByName(b).groupBy("term", "schema", "destination").agg(F.min("origin").alias("origin"))

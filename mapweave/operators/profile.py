@@ -254,3 +254,14 @@ def summary(columns: DataFrame) -> DataFrame:
         F.slice(F.array_sort(F.collect_list(key)), 1, 5).alias("k"),
     )
     return g.select("entity", "fields", "identifiers", "domain_fields", F.when(F.col("entity").isNotNull(), F.array_join(F.transform("k", lambda x: x["column_name"]), ",")).alias("key_fields"))
+
+
+def schema_summary(tables: dict[str, DataFrame], columns: int = 10) -> DataFrame:
+    """(entity, row_count, field_count, first_columns) per table, and the totals in a row with entity NULL."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("entity"), "row_count", F.lit(len(df.columns)).alias("field_count"), F.lit(", ".join(df.columns[:columns])).alias("first_columns"))
+        out = row if out is None else out.unionByName(row)
+    return out.rollup("entity").agg(F.sum("row_count").alias("row_count"), F.sum("field_count").alias("field_count"), F.max(F.when(F.col("entity").isNotNull(), F.col("first_columns"))).alias("f")).select(
+        "entity", "row_count", "field_count", F.when(F.col("entity").isNotNull(), F.col("f")).alias("first_columns")
+    )

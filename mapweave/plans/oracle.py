@@ -342,6 +342,10 @@ def oracle_sql() -> dict[str, str]:
         "calib_scores": _kb(_SCORES, _PRED, _curve(_BIN)),
         "profile_columns": f"SELECT column_name, CAST(position AS INT) AS position, count(*) AS row_count, count(*) FILTER (value IS NULL) AS null_count, count(DISTINCT value) AS distinct_count FROM ({_cells(_CASE_COLUMNS)}) AS x GROUP BY ALL",
         "profile_samples": f"SELECT column_name, string_agg(value, ' | ' ORDER BY rn) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY ord, value) AS rn FROM ({_cells(_CASE_COLUMNS)}) AS x WHERE value IS NOT NULL) AS y WHERE rn <= 3 GROUP BY 1",
+        "schema_summary": f"""SELECT entity, CAST(sum(c) AS BIGINT) AS row_count, CAST(sum(k) AS BIGINT) AS field_count, CASE WHEN entity IS NOT NULL THEN max(f) END AS first_columns FROM (
+            SELECT 'cases' AS entity, (SELECT count(*) FROM cases) AS c, 9 AS k, 'ord, {", ".join(_CASE_COLUMNS)}' AS f
+            UNION ALL SELECT 'sources', (SELECT count(*) FROM sources), 8, 'ord, id, source, source_schema, tier, source_context, loaded_at, deleted_at'
+            UNION ALL SELECT 'destinations', (SELECT count(*) FROM destinations), 15, 'ord, id, source_id, destination, entity, dest_system, dest_code, dest_display, unit, unit_system') AS x GROUP BY ROLLUP (entity)""",
         "json_field_usage": """SELECT 'k' AS path, count(*) AS n, 'Event' AS resource, (SELECT string_agg(value, '|' ORDER BY o, value) FROM (
             SELECT left(json_extract_string(props, '$.k'), 100) AS value, min(event_id) AS o FROM events GROUP BY 1 ORDER BY o, value LIMIT 10) AS x) AS samples FROM events WHERE json_exists(props, '$.k')""",
         "json_coding_usage": f"WITH {_CODED} SELECT system, code, count(*) AS n, arg_min(display, ord) AS display, 'Observation.category.coding' AS path FROM coded GROUP BY system, code",

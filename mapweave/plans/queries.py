@@ -346,6 +346,10 @@ def profile_summary(spark, d):
     return profile.summary(_columns(spark, d))
 
 
+def schema_summary(spark, d):
+    return profile.schema_summary({t: read_table(spark, d, t) for t in ("cases", "sources", "destinations")})
+
+
 # nested records and texts
 def _records(spark, d):
     v = read_table(spark, d, "content_values")
@@ -368,6 +372,11 @@ def json_field_usage(spark, d):
     return fhir.field_usage(nodes).select("path", "n", "resource", F.array_join("samples", "|").alias("samples"))
 
 
+def ground_truth_rows(spark, d):
+    usage = fhir.pair_usage(fhir.mapping_pairs(_nodes(spark, d), F.col("source")))
+    return normalize.ground_truth(read_table(spark, d, "mapping_entries"), usage)
+
+
 def json_coding_usage(spark, d):
     return fhir.coding_usage(fhir.codings(_nodes(spark, d)))
 
@@ -492,8 +501,8 @@ _ALL = (
     ground_truth_metrics, valid_paths, passthrough_fix, focus_refs, path_validation,
     rule_match_topk, rule_match_metadata, fuzzy_lookup, expert_match, ensemble_scores, confidence_levels, dedupe_matches, tier_run, nearest_vectors, rank_metrics, top1_outcomes,
     calib_keys, calib_curve, calib_curve_compat, calib_ece, calib_scores,
-    profile_columns, profile_samples, content_types, content_types_compat, target_candidates, table_profiles, column_relations, profile_summary,
-    json_field_usage, json_coding_usage, json_coding_systems, json_reference_usage, json_pair_usage, url_terms, name_parts, name_variants, characteristics, minted_ids, category_paths,
+    profile_columns, profile_samples, content_types, content_types_compat, target_candidates, table_profiles, column_relations, profile_summary, schema_summary,
+    json_field_usage, json_coding_usage, json_coding_systems, json_reference_usage, json_pair_usage, ground_truth_rows, url_terms, name_parts, name_variants, characteristics, minted_ids, category_paths,
     feedback_stats, feedback_recent, feedback_new_mappings, consensus_vote, stream_feedback_stats, stream_windows,
     cascade_map, cascade_constrained, cascade_coverage, eval_verdicts, eval_report,
 )

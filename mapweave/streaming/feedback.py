@@ -61,3 +61,19 @@ def run_available(stream: DataFrame, name: str, mode: str = "complete", checkpoi
     q = writer.start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def merge_usage(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over records (ord, resource, json): counts of paths under the batch's number, as in
+    merge_state."""
+    from mapweave.operators import fhir
+
+    def merge(batch: DataFrame, number: int) -> None:
+        nodes = fhir.walk(fhir.parse_records(batch), ("ord", "resource"))
+        fhir.field_usage(nodes).select("path", "n").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return merge
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("path").agg(F.sum("n").alias("n"))

@@ -69,3 +69,9 @@ def test_answers(spark):
     assert one(spark, tx.parse_answer(F.col("a"), F.col("c")), a="no idea", c=["A.b"]).target == "A.b"
     assert tuple(one(spark, tx.parse_answer(F.col("a")), a="maybe Patient.birth_date?"))[:2] == ("Patient.birth_date", 0.5)
     assert one(spark, tx.parse_answer(F.col("a")), a="none").target == "unknown"
+
+
+def test_rules_section(spark):
+    text = "intro\n### A one\nx\n#### sub\n### B two\ny\n"
+    assert one(spark, tx.rules_section(F.col("a"), "a ONE"), a=text) == "### A one\nx\n#### sub\n"
+    assert one(spark, tx.rules_section(F.col("a"), "zzz"), a=text) == "" and one(spark, tx.rules_section(F.col("a"), ""), a=text) == text

@@ -1,7 +1,7 @@
 import json
 from datetime import datetime
 
-from mapweave.operators import fhir
+from mapweave.operators import calibrate, fhir, normalize
 from mapweave.sources import files
 from mapweave.streaming import feedback as st
 
@@ -68,3 +68,19 @@ def test_calibration_state_counts_a_batch_once(spark, tmp_path):
         merge(p, number)
     r = st.read_state(spark, str(tmp_path / "state")).where("key = 'm'").first()
     assert (r.n, r.accuracy) == (4, 0.5)
+
+
+def test_usage_and_summaries(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "R", '{"a": {"b": 1}}'), (2, "R", '{"a": {"b": 2}, "c": 3}')], "ord long, resource string, json string")
+    merge = st.merge_usage(str(tmp_path / "u"))
+    for number in (0, 0, 1):
+        merge(lines, number)
+    assert {tuple(r) for r in st.read_usage(spark, str(tmp_path / "u")).collect()} == {("a.b", 4), ("c", 2)}
+    usage = spark.createDataFrame([("s", "t", "A.b", 7), ("s", "u", "A.c", 2)], "schema string, term string, path string, n long")
+    fhir.export_summary(usage, str(tmp_path / "summary"))
+    assert [r.term for r in spark.read.json(str(tmp_path / "summary")).collect()] == ["t"]
+    entries = spark.createDataFrame([("t", "s", "A.b"), (None, "s", "A.b")], "source_term string, source_schema string, destination string")
+    assert {tuple(r) for r in normalize.ground_truth(entries, usage, 2).collect()} == {("t", "s", "A.b", "curated"), ("u", "s", "A.c", "mined")}
+    a = spark.createDataFrame([("m", "field", 0.5, 0.2)], "matcher string, tier string, accuracy double, ece double")
+    r = calibrate.compare_runs(a, a.selectExpr("matcher", "tier", "accuracy + 0.25 AS accuracy", "ece")).first()
+    assert (r.accuracy_delta, r.ece_delta) == (0.25, 0.0)
