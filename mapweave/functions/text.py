@@ -125,14 +125,19 @@ def split_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def characteristics(c: Column) -> Column:
     """`key: value; key: value` as a map; keys in lower case with `_` for spaces, the last of equal keys wins."""
     pairs = F.filter(F.split(c, ";"), lambda x: x.contains(":"))
     entries = F.transform(
         pairs,
         lambda x: F.struct(
-            F.translate(F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1)))), " ", "_").alias("key"),
-            F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value"),
+            F.translate(F.lower(strip(F.split_part(x, F.lit(":"), F.lit(1)))), " ", "_").alias("key"),
+            strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value"),
         ),
     )
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))

@@ -310,6 +310,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT terms.term, m.*, row_number() OVER (PARTITION BY terms.term, lower(destination) ORDER BY dest_ord) AS rn FROM terms JOIN m ON terms.term = m.source) AS x JOIN goals g ON lower(x.destination) = lower(g.target) WHERE rn = 1"""
         ),
         "fuzzy_lookup": _FUZZY,
+        "expert_match": _kb(
+            """SELECT DISTINCT a.term, g.target, CASE WHEN g.target IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS score FROM terms a LEFT JOIN (
+            SELECT lower(source) AS t, destination AS path FROM m UNION SELECT lower(source_value), fhir_path FROM v JOIN p ON v.id = p.content_value_id) AS e ON lower(a.term) = e.t
+            LEFT JOIN goals g ON e.path = g.target WHERE e.path IS NULL OR g.target IS NOT NULL"""
+        ),
         "ensemble_scores": _kb(f"SELECT ord, round({_ENSEMBLE}, 6) AS score FROM cand"),
         "confidence_levels": _kb(f"SELECT tier, {_LEVEL} AS level, CASE WHEN score >= 0.95 THEN 'AUTO-ACCEPT' WHEN score >= 0.85 THEN 'HITL REVIEW' ELSE 'REJECT' END AS route, count(*) AS n FROM scored GROUP BY ALL"),
         "dedupe_matches": _kb(f"SELECT {_PAIR}, tier, score, ord FROM (SELECT *, row_number() OVER (PARTITION BY {_PAIR} ORDER BY {_TIER_PRIO}, score DESC, ord) AS rn FROM scored) AS x WHERE rn = 1"),
@@ -364,6 +369,9 @@ def oracle_sql() -> dict[str, str]:
         "name_parts": f"SELECT DISTINCT source, {_stem('source')} AS stem, array_to_string(list_sort({_tokens('source')}), ',') AS tokens, left(translate(lower(source), ' -', '__'), 50) AS safe_id FROM sources WHERE source IS NOT NULL",
         "name_variants": """SELECT source, unnest(list_distinct(list_filter([source, CASE WHEN ends_with(source, 'ing') THEN left(source, length(source) - 3) || 'e' END, CASE WHEN ends_with(source, 'ing') THEN left(source, length(source) - 3) END,
             CASE WHEN ends_with(source, 's') THEN left(source, length(source) - 1) END], lambda x: x IS NOT NULL))) AS variant FROM (SELECT DISTINCT source FROM sources WHERE source IS NOT NULL) AS x""",
+        "characteristics": r"""SELECT ord, key, arg_max(value, i) AS value FROM (
+            SELECT ord, x.i, replace(lower(regexp_replace(split_part(x.p, ':', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), ' ', '_') AS key, regexp_replace(substr(x.p, instr(x.p, ':') + 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS value FROM (
+            SELECT ord, unnest(list_transform(string_split(source, ';'), lambda p, i: {'p': p, 'i': i})) AS x FROM sources WHERE contains(source, ': ')) AS y WHERE contains(x.p, ':')) AS z GROUP BY ord, key""",
         "category_paths": """SELECT DISTINCT source_category, CASE WHEN regexp_matches(lower(source_category), 'condition|diagnosis|histology') THEN 'Condition.code' WHEN regexp_matches(lower(source_category), 'staging|grade|stage') THEN 'Observation.valueCodeableConcept'
             WHEN regexp_matches(lower(source_category), 'tissue|specimen|sample') THEN 'Specimen.type' WHEN regexp_matches(lower(source_category), 'anatomical|location|site|metastasis') THEN 'Specimen.collection.bodySite'
             WHEN contains(lower(source_category), 'procedure') THEN 'Procedure.code' ELSE 'Observation.valueCodeableConcept' END AS path FROM content_values WHERE source_category IS NOT NULL""",
