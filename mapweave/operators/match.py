@@ -104,13 +104,14 @@ def fuzzy_lookup(queries: DataFrame, terms: DataFrame, least: float = FUZZY_GATE
     share = F.lit(least / 0.6)
 
     def words(c: Column) -> Column:
-        t = F.array_sort(tx.tokens(F.lower(c)))
+        t = F.array_sort(tx.tokens(c))
         n = F.size(t)
         head = F.slice(t, F.lit(1), F.greatest(n - F.ceil(n * share).cast("int") + 1, F.lit(1)))
         return F.when(n > 11, head).when(n > 0, F.array(F.array_join(t, " "))) if least / 0.6 > 11 / 12 - 1e-9 else head
 
     def pairs(x: Column, y: Column) -> DataFrame:
-        return q.withColumn("_k", F.explode(x)).join(s.withColumn("_k", F.explode(y)), "_k").select("query", "source")
+        # keys are many times the rows their size is guessed from, so neither side is to be broadcast
+        return q.withColumn("_k", F.explode(x)).join(s.withColumn("_k", F.explode(y)).hint("merge"), "_k").select("query", "source")
 
     a, b = F.col("query"), F.col("source")
     both = pairs(heads(a), parts(b)).unionByName(pairs(parts(a), heads(b))).unionByName(pairs(words(a), words(b))).distinct()

@@ -71,6 +71,15 @@ def test_fuzzy_lookup_equals_all_pairs(spark):
     assert [(r.source, r.score > 0.4) for r in low] == [("gender", True)]
 
 
+def test_fuzzy_lookup_finds_camel_case_twins(spark):
+    names = ("serialDischargeTimepoint", "serial_discharge_timepoint", "MeasuredDosageDepth", "measured_dosage_depth", "depthMeasured_dosage", "measureddosagedepth")
+    q, s = terms(spark, *names, name="query"), terms(spark, *names, name="source")
+    got = {(r.query, r.source): r.score for r in match.fuzzy_lookup(q, s).collect()}
+    every = q.crossJoin(s).withColumn("score", tx.fuzzy_score(F.col("query"), F.col("source"), ratio=False)).where("score >= 0.55")
+    assert got == {(r.query, r.source): r.score for r in every.collect()}
+    assert got["serialDischargeTimepoint", "serial_discharge_timepoint"] == got["measured_dosage_depth", "MeasuredDosageDepth"] == 0.6
+
+
 def test_nearest_against_brute_force(spark):
     import numpy as np
 
