@@ -141,6 +141,12 @@ def cut(text: str, tokens: Tokens, settings: list[tuple[str, int, int]]) -> Iter
                     if lo > hi:
                         lo = min(start + overlap + 1, hi)
                     strength, end = table.best(min(lo, hi), hi)
+                    first = start + max(overlap, shared) + 1
+                    if strength < SENTENCE and first < lo:
+                        # no end of a sentence or more in the upper half: one before it goes before a word or token
+                        earlier = table.best(first, lo - 1)
+                        if earlier[0] >= SENTENCE:
+                            strength, end = earlier
                     if strength == INSIDE:
                         # only tiny limits come here: the nearest cut before, else the first one after
                         end = next((k for k in range(hi, start + overlap, -1) if clean[k]), 0) or next(k for k in range(hi + 1, n + 1) if clean[k])
@@ -174,8 +180,9 @@ def split_texts(documents: DataFrame, settings: list[tuple[str, int, int]], doc_
 
     A piece has at most max_tokens tokens, counted by encoding the piece itself. It ends at the strongest
     boundary - heading, paragraph, line, sentence, word, token - between half of max_tokens and max_tokens,
-    the rightmost of the strongest; the next piece starts overlap_tokens of the text's tokens before that
-    end (a token or two earlier if that lies within a character). Pieces of a text, less what each shares
+    the rightmost of the strongest; if that is a word or token, at the strongest heading, paragraph, line or
+    sentence before the half, where there is one past the overlap. The next piece starts overlap_tokens of the
+    text's tokens before that end (a token or two earlier if that lies within a character). Pieces of a text, less what each shares
     with the one before, are the text. A text within the limit is one piece. cut_at names the boundary at
     the end, `end` for the last piece.
 

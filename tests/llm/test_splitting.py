@@ -58,6 +58,17 @@ def test_strongest_boundary_wins_and_ties_go_right():
     assert encode(plain[a:b]) == 10
 
 
+def test_a_sentence_end_before_the_half_goes_before_a_word():
+    text = "One.\nTwo. " + "and so it goes on " * 12
+    for overlap, piece, strength in ((0, "One.\n", sp.LINE), (3, "One.\nTwo.", sp.SENTENCE)):
+        first = next(sp.cut(text, TOKENS, [("x", 24, overlap)]))
+        assert text[: first[3]] == piece and first[6] == strength
+        check(text, [("x", 24, overlap)])
+    check("AlphaAlphaéAlpha\n# Head\nAlphaAlphaAlphaAlpha日本語", [("a", 16, 3), ("b", 9, 0), ("c", 40, 12)])
+    first = next(sp.cut(text, TOKENS, [("x", 24, 5)]))
+    assert first[6] == sp.WORD and first[4] > 12
+
+
 def test_abbreviations_end_no_sentence():
     s = sp.strengths("Seen by Dr. Who, approx. 5 ml. Then z. B. none? Yes! End.")
     ends = [k for k in range(len(s)) if s[k] == sp.SENTENCE]
