@@ -83,14 +83,14 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _best(table: pa.Table, n: int) -> pa.Table:
     """The n first items of each group, an item once; rows come sorted by group, score downwards, item."""
     table = table.sort_by([("_g", "ascending"), ("_s", "descending"), ("_i", "ascending")])
-    g, i = table["_g"].combine_chunks(), table["_i"].combine_chunks()
-    if len(g) > 1:
-        # the same item of a group with the same score stands side by side
-        same = pc.and_(pc.equal(g.slice(1), g.slice(0, len(g) - 1)), pc.equal(i.slice(1), i.slice(0, len(i) - 1)))
-        table = table.filter(pa.concat_arrays([pa.array([True]), pc.invert(same)]))
-        g = table["_g"].combine_chunks()
     import numpy as np
 
+    # of the rows of an item in a group, repeats or of other scores, the first has its highest score
+    at = table.append_column("_at", pa.array(np.arange(len(table))))
+    first = at.group_by(["_g", "_i"]).aggregate([("_at", "min")])["_at_min"]
+    if len(first) < len(table):
+        table = table.take(pa.array(np.sort(first.to_numpy())))
+    g = table["_g"].combine_chunks()
     codes = g.dictionary_encode().indices.to_numpy(zero_copy_only=False)
     start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, int)
     rank = np.arange(len(codes)) - np.repeat(start, np.diff(np.r_[start, len(codes)]))

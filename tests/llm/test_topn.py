@@ -52,6 +52,16 @@ def test_one_item_with_two_scores_and_an_item_in_two_groups(spark):
     assert {(r.g, r.i, r.score) for r in got} == {("a", "x", 3.0), ("b", "x", 0.5)}
 
 
+def test_an_item_with_scores_around_another_takes_one_place(spark, tmp_path):
+    rows = [("a", i, s, None, None) for i, s in (("x", 3.0), ("y", 2.0), ("x", 1.0), ("z", 0.5))]
+    got = topn.top_n_per_group(spark.createDataFrame(rows, SCHEMA), "g", "i", "s", 3).collect()
+    assert {(r.i, r.score, r["rank"]) for r in got} == {("x", 3.0, 1), ("y", 2.0, 2), ("z", 0.5, 3)}
+    # ten items with ever lower scores fill the first row groups; others of the twelve best come far below
+    rows = [("hot", f"h{k % 10}", 10_000.0 - k / 10, None, None) for k in range(30_000)] + [("hot", f"{k:05d}", k / 10_000, None, None) for k in range(10_000)]
+    path = topn.cluster_by_group(spark.createDataFrame(rows, SCHEMA), "g", "i", "s", str(tmp_path / "t"), row_group_bytes=20_000)
+    assert {(r._g, r._i) for r in topn.top_n(spark, path, 12).collect()} == brute(rows, 12)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, "a", 1.0, None, None)], [("", "a", 1.0, None, None)], [("g", "a", None, None, None)]])
 def test_nothing_takes_part(spark, rows):
     assert topn.top_n_per_group(spark.createDataFrame(rows, SCHEMA), "g", "i", "s", 5).count() == 0
