@@ -390,6 +390,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE user_id IS NOT NULL AND confidence IS NOT NULL AND NOT isnan(confidence) AND decision <> 'reject' GROUP BY 1, 2) AS x WHERE target IS NOT NULL AND target <> '') AS y WHERE rank <= 3"""
         ),
         "stream_feedback_stats": "SELECT matcher, tier, lower(trim(decision)) AS decision, count(*) AS n FROM feedback WHERE lower(trim(decision)) IN ('accept', 'reject', 'correct') GROUP BY ALL",
+        "stream_windows": "SELECT time_bucket(INTERVAL 7 DAY, decided_at, TIMESTAMP '1970-01-01') AS start, lower(trim(decision)) AS decision, count(*) AS n FROM feedback WHERE decided_at IS NOT NULL GROUP BY ALL",
         "cascade_map": _kb("SELECT * FROM mapped", *_MAPPED),
         "cascade_coverage": _kb(
             """SELECT stage, count(*) AS n, round(count(*) / (SELECT count(*) FROM mapped), 6) AS share FROM mapped GROUP BY stage

@@ -452,7 +452,8 @@ def stream_feedback_stats(spark, d):
 def stream_windows(spark, d):
     f = read_table(spark, d, "feedback")
     stream = streaming.windowed_decisions(streaming.read_stream(spark, f"{d}/feedback.parquet*", f.schema), width="7 days", late="400 days")
-    return streaming.run_available(stream, "mapweave_stream_windows", "append")
+    # the table as it stands is run to its end: append mode would keep back the windows the watermark hasn't passed
+    return streaming.run_available(stream, "mapweave_stream_windows")
 
 
 # cascades

@@ -39,6 +39,16 @@ def test_equals_sql(spark, sql, name):
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(cur.fetchall(), columns)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_stream_windows_have_every_decision(spark, sql):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["stream_windows"](spark, DATA)
+    rows = sql.execute(entry.oracle_sql()["stream_windows"]).fetchall()
+    assert canon([tuple(r) for r in df.select("start", "decision", "n").collect()], ["start", "decision", "n"]) == canon(rows, ["start", "decision", "n"])
+    assert sum(r[2] for r in rows) == sql.execute("SELECT count(decided_at) FROM feedback").fetchone()[0]
+
+
 def test_every_sql_has_a_query():
     import __spark_entry__ as entry
 
