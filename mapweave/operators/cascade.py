@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
-from mapweave.operators import match
+from mapweave.operators import calibrate, match
 from mapweave.operators.kb import KnowledgeBase, first_rows, row_rank
 from mapweave.util import cut
 
@@ -27,20 +27,27 @@ def fuzzy_stage(kb: KnowledgeBase, columns: DataFrame, variants: bool = False, c
     return best.select("name", "b.target", F.round(F.least(F.col("b.score"), F.lit(cap)), 3).alias("confidence"), F.lit("fuzzy").alias("stage"))
 
 
-def vector_stage(kb: KnowledgeBase, columns: DataFrame, least: float = 0.5, top: int = 400) -> DataFrame:
+def vector_stage(kb: KnowledgeBase, columns: DataFrame, least: float = 0.5, top: int = 400, keyed: DataFrame | None = None, matcher: str = "biobert") -> DataFrame:
     """The most similar of the `top` commonest destinations by hashed name vectors, from `least` on. The
-    destinations are a list of that fixed length."""
+    destinations are a list of that fixed length. With keyed predictions (calibrate.explode_keys) the
+    confidence is the accuracy of the matcher's field scores of that likeness, and `least` applies to it."""
     common = kb.destinations.where(F.col("destination").contains(".")).groupBy("destination").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "destination").limit(top)
     goal = F.broadcast(common.select(F.col("destination").alias("target"), match.hash_embedding(F.col("destination")).alias("_b")))
     asked = columns.select("name", match.hash_embedding(F.col("name")).alias("_a"))
-    pairs = asked.crossJoin(goal).withColumn("confidence", F.round(match.cosine(F.col("_a"), F.col("_b")), 3)).where(F.col("confidence") >= least)
-    best = pairs.groupBy("name").agg(F.min_by(F.struct("target", "confidence"), F.struct(-F.col("confidence"), F.col("target"))).alias("b"))
-    return best.select("name", "b.target", "b.confidence", F.lit("vector").alias("stage"))
-
-
-def map_columns(kb: KnowledgeBase, columns: DataFrame, vectors: bool = False) -> DataFrame:
-    """columns (name) -> (name, target, confidence, stage), each name once: exact, fuzzy, optionally by vectors,
-    else unmapped with NULL target. What a stage left open is written before the next reads it, so each stage
+    # cosines come in floating point: a little over 1 lies in no bin
+    pairs = asked.crossJoin(goal).withColumn("raw", F.least(match.cosine(F.col("_a"), F.col("_b")), F.lit(1.0))).where(F.col("raw").isNotNull())
+    best = pairs.groupBy("name").agg(F.min_by(F.struct("target", "raw"), F.struct(-F.round("raw", 9), F.col("target"))).alias("b")).select("name", "b.target", "b.raw")
+    if keyed is None:
+        return best.select("name", "target", F.round("raw", 3).alias("confidence"), F.lit("vector").alias("stage")).where(F.col("confidence") >= least)
+    best = cut(best, "vectors")
+    scores = best.select(F.col("name").alias("id"), F.lit(matcher).alias("matcher"), F.lit("field").alias("tier"), F.lit("").alias("schema"), F.lit("").alias("context"), F.col("raw").alias("confidence"))
+    known = calibrate.calibrate_scores(scores, keyed).select(F.col("id").alias("name"), "calibrated").where(F.col("calibrated") >= least)
+    return best.join(known, "name").select("name", "target", F.round("calibrated", 3).alias("confidence"), F.lit("vector").alias("stage"))
+
+
+def map_columns(kb: KnowledgeBase, columns: DataFrame, vectors: bool = False, keyed: DataFrame | None = None) -> DataFrame:
+    """columns (name) -> (name, target, confidence, stage), each name once: exact, fuzzy, optionally by vectors
+    (calibrated by keyed predictions where given), else unmapped with NULL target. What a stage left open is written before the next reads it, so each stage
     runs once."""
     names = columns.where(F.col("name").isNotNull()).select("name").distinct()
     done = cut(exact_stage(kb, names), "stage")
@@ -49,7 +56,7 @@ def map_columns(kb: KnowledgeBase, columns: DataFrame, vectors: bool = False) ->
     out = done.unionByName(second)
     open_ = open_.join(second, "name", "left_anti")
     if vectors:
-        third = cut(vector_stage(kb, open_), "stage")
+        third = cut(vector_stage(kb, open_, keyed=keyed), "stage")
         out, open_ = out.unionByName(third), open_.join(third, "name", "left_anti")
     none = open_.select("name", F.lit(None).cast("string").alias("target"), F.lit(0.0).alias("confidence"), F.lit("unmapped").alias("stage"))
     return out.unionByName(none)

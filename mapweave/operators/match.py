@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
+from mapweave.operators import profile as profiles
 from mapweave.operators.kb import KnowledgeBase
 
 #: Acceptance of a fuzzy match.
@@ -242,16 +243,17 @@ def dedupe_matches(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def match_tables(left: DataFrame, right: DataFrame, dims: int = 64, one_to_one: bool = True) -> DataFrame:
-    """(source, target, score) of the columns of two tables by the likeness of their names and sampled values.
+    """(source, target, score) of the columns of two tables by the likeness of their names and values: of each
+    column the ten that sort first in all rows.
 
     Tables have columns, not rows, to compare: the profiles are two small lists. With one_to_one each column
     is used once, greedily by score, then by names.
     """
 
     def profile(df: DataFrame) -> list[tuple[str, list[float]]]:
-        cells = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns)).limit(200)
-        sample = cells.collect()
-        texts = [(c, f"{c} {c}: " + ", ".join(sorted({r[c] for r in sample if r[c]})[:10])) for c in df.columns]
+        given = profiles.unpivot(df).where(F.col("value") != "").select("column_name", "value").distinct()
+        sample = top_k(given, ["column_name"], 10, [F.col("value")]).orderBy("column_name", "rank").collect()
+        texts = [(c, f"{c} {c}: " + ", ".join(r.value for r in sample if r.column_name == c)) for c in df.columns]
         spark = df.sparkSession
         got = spark.createDataFrame(texts, "name string, text string").withColumn("v", hash_embedding(F.col("text"), dims))
         return [(r.name, r.v) for r in got.orderBy("name").collect()]

@@ -251,6 +251,10 @@ def nearest_vectors(spark, d):
     return match.nearest(e, e.where(F.col("vec_id") % 100 == 0)).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def match_tables(spark, d):
+    return match.match_tables(read_table(spark, d, "sources"), read_table(spark, d, "mapping_entries")).select("source", "target", F.round("score", 6).alias("score"))
+
+
 def rank_metrics(spark, d):
     m = _candidates(spark, d).where("score IS NOT NULL AND NOT isnan(score)")
     best = m.groupBy("tier", "source_field", "target").agg(F.max("score").alias("score"), F.min("ord").alias("ord"), F.bool_or(F.coalesce("user_feedback", F.lit(False))).alias("hit"))
@@ -465,6 +469,11 @@ def cascade_map(spark, d):
     return _mapped(spark, d)
 
 
+def cascade_map_vectors(spark, d):
+    """All stages: exact, fuzzy, calibrated vectors."""
+    return cascade.map_columns(_kb(spark, d), _names(spark, d).select(F.col("source").alias("name")), vectors=True, keyed=_keyed(spark, d))
+
+
 def cascade_constrained(spark, d):
     c = _names(spark, d).groupBy(F.col("source").alias("name")).agg(F.array_sort(F.collect_set("proposed_target")).alias("candidates"))
     return cascade.map_columns_constrained(_kb(spark, d), c)
@@ -500,12 +509,12 @@ _ALL = (
     content_by_path, kb_merge, kb_merge_counted, kb_without_destination, kb_multi_destination, kb_counts, kb_top_destinations, kb_repair_counts, kb_path_fixes, kb_delete_like,
     conflicts_destination, conflicts_schema, multi_destinations, resolve_priority, resolve_frequency, resolve_equivalent, canonical_rows, normalization_report, hitl_export,
     ground_truth_metrics, valid_paths, passthrough_fix, focus_refs, path_validation,
-    rule_match_topk, rule_match_metadata, fuzzy_lookup, expert_match, ensemble_scores, confidence_levels, dedupe_matches, tier_run, nearest_vectors, rank_metrics, top1_outcomes,
+    rule_match_topk, rule_match_metadata, fuzzy_lookup, expert_match, ensemble_scores, confidence_levels, dedupe_matches, tier_run, nearest_vectors, match_tables, rank_metrics, top1_outcomes,
     calib_keys, calib_curve, calib_curve_compat, calib_ece, calib_scores,
     profile_columns, profile_samples, content_types, content_types_compat, target_candidates, table_profiles, column_relations, profile_summary, schema_summary,
     json_field_usage, json_coding_usage, json_coding_systems, json_reference_usage, json_pair_usage, ground_truth_rows, url_terms, name_parts, name_variants, characteristics, minted_ids, category_paths,
     feedback_stats, feedback_recent, feedback_new_mappings, consensus_vote, stream_feedback_stats, stream_windows,
-    cascade_map, cascade_constrained, cascade_coverage, eval_verdicts, eval_report,
+    cascade_map, cascade_map_vectors, cascade_constrained, cascade_coverage, eval_verdicts, eval_report,
 )
 
 

@@ -174,6 +174,27 @@ def test_cascade_and_verdicts(spark, kb):
     assert {(r.stratum, r.usable) for r in cascade.eval_report(j).collect()} == {("a", 0.5), ("b", 0.5), ("ALL", 0.5)}
 
 
+def test_vector_stage_is_calibrated(spark, kb):
+    names = terms(spark, "patient.gendr", name="name")
+    raw = cascade.vector_stage(kb, names).first()
+    assert (raw.target, raw.stage) == ("Patient.gender", "vector") and raw.confidence >= 0.5
+    kind = "matcher string, tier string, schema string, context string, confidence double, correct boolean"
+    for right, got in ((3, [("Patient.gender", 0.75, "vector")]), (1, [])):
+        rows = [("biobert", "field", "", "", raw.confidence, k % 4 < right) for k in range(400)]
+        keyed = calibrate.explode_keys(spark.createDataFrame(rows, kind))
+        assert [(r.target, r.confidence, r.stage) for r in cascade.vector_stage(kb, names, keyed=keyed).collect()] == got
+        assert cascade.map_columns(kb, names.union(terms(spark, "sex")), vectors=True, keyed=keyed).count() == 2
+
+
+def test_match_tables_sees_values_of_all_rows(spark):
+    left = spark.createDataFrame([(str(k % 7), "Adenocarcinoma" if k > 900 else None) for k in range(1000)], "a string, b string").coalesce(1)
+    right = spark.createDataFrame([("Adenocarcinoma", str(k % 7)) for k in range(10)], "c string, d string")
+    got = {(r.source, r.target) for r in match.match_tables(left, right).collect()}
+    assert got == {("a", "d"), ("b", "c")}
+    alike = {(r.source, r.target): r.score for r in match.match_tables(left, right, one_to_one=False).collect()}
+    assert alike["b", "c"] > 0.75
+
+
 def test_dedupe_and_ensemble(spark):
     m = spark.createDataFrame([("a", "b", "field", 0.99, 1), ("a", "b", "content", 0.86, 2), ("a", "b", "content", 0.86, 3)], "s string, t string, tier string, score double, ord long")
     assert [(r.tier, r.ord) for r in match.dedupe_matches(m, ["s", "t"]).collect()] == [("content", 2)]
