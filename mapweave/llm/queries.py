@@ -13,6 +13,8 @@ FORMATTED = (("sources", "source"), ("mapping_entries", "source_term"), ("feedba
 #: Columns that don't count when records are compared.
 UNCOMPARED = ("ord", "id", "loaded_at", "deleted_at", "decided_at", "ingested_at", "notes")
 TOP = 5
+#: Rows of split_settings at most.
+SETTINGS = 1000
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +106,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    settings = [(r.setting, r.max_tokens, r.overlap_tokens) for r in read_table(spark, d, "split_settings").orderBy("setting").limit(1000).collect()]
+    rows = read_table(spark, d, "split_settings").orderBy("setting").limit(SETTINGS + 1).collect()
+    if len(rows) > SETTINGS:
+        raise ValueError(f"split_settings: more than {SETTINGS} rows")
+    settings = [(r.setting, r.max_tokens, r.overlap_tokens) for r in rows]
     return splitting.split_texts(read_table(spark, d, "documents"), settings)
 
 

@@ -57,7 +57,7 @@ def kb_lookup_context(spark, d):
 
 
 def kb_reverse_lookup(spark, d):
-    return _kb(spark, d).lookup_reverse(_names(spark, d).where(F.col("matcher") == "rule").select(F.lower("proposed_target").alias("path")).where("path IS NOT NULL"))
+    return _kb(spark, d).lookup_reverse(_names(spark, d).select(F.lower("proposed_target").alias("path")).where("path IS NOT NULL"))
 
 
 def kb_filter_tier(spark, d):

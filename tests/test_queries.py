@@ -49,6 +49,25 @@ def test_stream_windows_have_every_decision(spark, sql):
     assert sum(r[2] for r in rows) == sql.execute("SELECT count(decided_at) FROM feedback").fetchone()[0]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_reverse_lookup_asks_the_paths_of_every_matcher(spark, sql):
+    import __spark_entry__ as entry
+
+    got = {r.path for r in entry.queries()["kb_reverse_lookup"](spark, DATA).select("path").distinct().collect()}
+    known = {r.destination.lower() for r in entry.queries()["kb_top_destinations"](spark, DATA).collect()}
+    asked = {r[0] for r in sql.execute("SELECT DISTINCT lower(proposed_target) FROM feedback WHERE source IS NOT NULL AND proposed_target IS NOT NULL").fetchall()}
+    assert known & asked <= got <= asked
+
+
+def test_more_settings_than_the_bound_are_an_error(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.range(1001).selectExpr("CAST(id AS STRING) AS setting", "64 AS max_tokens", "0 AS overlap_tokens").write.parquet(str(tmp_path / "split_settings.parquet"))
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    with pytest.raises(ValueError, match="split_settings"):
+        entry.queries()["p8_pieces"](spark, str(tmp_path))
+
+
 def test_every_sql_has_a_query():
     import __spark_entry__ as entry
 
