@@ -56,8 +56,8 @@ def _copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records that stand once have no copy and are left out here; p3_records has them."""
-    return _copies(spark, d).where(F.col("copies") > 1).select("table_name", "first_ord", "ord")
+    """The copies of each record: every row but the first, which is the record kept. p3_records has those."""
+    return _copies(spark, d).where(F.col("first_ord") != F.col("ord")).select("table_name", "first_ord", "ord")
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
@@ -164,6 +164,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _RANKED.format(more=""),
         "p2_ranked": _RANKED.format(more=", score, CAST(r AS INTEGER) AS rank"),
-        "p3_found": f"SELECT table_name, first_ord, ord FROM ({copies}) AS c WHERE copies > 1",
+        "p3_found": f"SELECT table_name, first_ord, ord FROM ({copies}) AS c WHERE first_ord <> ord",
         "p3_records": f"SELECT table_name, first_ord, copies FROM ({copies}) AS c WHERE first_ord = ord",
     }

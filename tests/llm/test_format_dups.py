@@ -81,3 +81,15 @@ def test_collapse_keeps_the_first_row_as_written(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None, None, None)]])
 def test_empty_and_single(spark, rows):
     assert fd.format_duplicates(spark.createDataFrame(rows, SCHEMA), "text", "ord", []).count() == len(rows)
+
+
+def test_found_gives_the_copies_and_not_the_record_kept(spark, tmp_path):
+    from mapweave.llm import queries
+
+    for table, text in queries.FORMATTED:
+        rows = [(1, "a_b", "x"), (2, "A B", "x"), (3, "a-b", "x"), (4, "a_b", "y"), (5, None, None)]
+        spark.createDataFrame(rows, f"ord long, {text} string, tier string").write.parquet(str(tmp_path / f"{table}.parquet"))
+    got = {tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()}
+    assert got == {(t, 1, o) for t, _ in queries.FORMATTED for o in (2, 3)}
+    kept = {tuple(r) for r in queries.p3_records(spark, str(tmp_path)).collect()}
+    assert kept == {(t, o, n) for t, _ in queries.FORMATTED for o, n in ((1, 3), (4, 1), (5, 1))}
