@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import canonical_map, consensus, format_dups, leakage, mixing, splitting, topn
-from mapweave.util import read_table
+from mapweave.util import read_table, scratch_path
 
 #: The tables of problem 3: (table, text column).
 FORMATTED = (("sources", "source"), ("mapping_entries", "source_term"), ("feedback", "source"))
@@ -45,6 +45,12 @@ def p2_ranked(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(read_table(spark, d, "match_candidates"), "source_field", "match_id", "score", TOP)
 
 
+def p2_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """How many row groups the best are found without."""
+    path = topn.cluster_by_group(read_table(spark, d, "match_candidates"), "source_field", "match_id", "score", scratch_path(spark, "clustered"))
+    return topn.skip_report(spark, path, TOP)
+
+
 def _copies(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for table, text in FORMATTED:
@@ -122,7 +128,7 @@ def p8_cuts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p1_agreement, p1_reliability, p2_found, p2_ranked, p3_found, p3_records, p4_found, p4_misses, p6_found, p6_items, p7_mix, p7_shares, p8_pieces, p8_cuts)
+    found = (p1_found, p1_agreement, p1_reliability, p2_found, p2_ranked, p2_skipped, p3_found, p3_records, p4_found, p4_misses, p6_found, p6_items, p7_mix, p7_shares, p8_pieces, p8_cuts)
     return {f.__name__: f for f in found}
 
 

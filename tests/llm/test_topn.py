@@ -39,11 +39,21 @@ def test_row_groups_are_skipped_and_nothing_is_lost(spark, tmp_path):
     rng = random.Random(2)
     rows = [("hot", f"{k:07d}", rng.random(), None, None) for k in range(60_000)] + [(f"c{k % 50}", f"{k}", rng.random(), None, None) for k in range(2_000)]
     df = spark.createDataFrame(rows, SCHEMA)
-    path = topn.cluster_by_group(df, "g", "i", "s", str(tmp_path / "t"), row_group_bytes=20_000)
-    got = {(r._g, r._i) for r in topn.top_n(spark, path, 3).collect()}
-    assert got == brute(rows, 3)
-    stats = topn.top_n(spark, path, 3, stats=True).first()
-    assert stats.rg_skipped > stats.rg_read
+    path = topn.cluster_by_group(df, "g", "i", "s", str(tmp_path / "t"), file_rows=9_000, group_rows=1_000, level_rows=50)
+    for n in (1, 3, 40):  # one layout for any N
+        got = [(r._g, r._i) for r in topn.top_n(spark, path, n).collect()]
+        assert set(got) == brute(rows, n) and len(got) == len(set(got))
+    stats = topn.skip_report(spark, path, 3).first()
+    assert stats.rg_skipped > stats.rg_read and stats.by_score > 0 and stats.by_count > 0
+
+
+def test_equal_scores_across_row_groups_and_a_hot_item(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", *(f"c{k}" for k in range(200))]), f"{rng.randrange(5000):04d}", rng.randrange(4) / 4, None, None) for _ in range(12_000)]
+    rows += [("hot", "again", 0.75, None, None)] * 9_000
+    path = topn.cluster_by_group(spark.createDataFrame(rows, SCHEMA), "g", "i", "s", str(tmp_path / "t"), file_rows=3_000, group_rows=400, level_rows=30)
+    for n in (1, 5, 17):
+        assert {(r._g, r._i) for r in topn.top_n(spark, path, n).collect()} == brute(rows, n)
 
 
 def test_one_item_with_two_scores_and_an_item_in_two_groups(spark):
@@ -58,7 +68,7 @@ def test_an_item_with_scores_around_another_takes_one_place(spark, tmp_path):
     assert {(r.i, r.score, r["rank"]) for r in got} == {("x", 3.0, 1), ("y", 2.0, 2), ("z", 0.5, 3)}
     # ten items with ever lower scores fill the first row groups; others of the twelve best come far below
     rows = [("hot", f"h{k % 10}", 10_000.0 - k / 10, None, None) for k in range(30_000)] + [("hot", f"{k:05d}", k / 10_000, None, None) for k in range(10_000)]
-    path = topn.cluster_by_group(spark.createDataFrame(rows, SCHEMA), "g", "i", "s", str(tmp_path / "t"), row_group_bytes=20_000)
+    path = topn.cluster_by_group(spark.createDataFrame(rows, SCHEMA), "g", "i", "s", str(tmp_path / "t"), file_rows=5_000, group_rows=1_000)
     assert {(r._g, r._i) for r in topn.top_n(spark, path, 12).collect()} == brute(rows, 12)
 
 
