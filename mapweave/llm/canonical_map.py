@@ -4,28 +4,27 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from mapweave.util import join_by_group, materialize, spread
+from mapweave.util import join_by_group, materialize, remove_path, spread
 
 #: Surfaces (terms and synonyms) broadcast at a time; a longer reference list is looked up in blocks.
 BLOCK = 20_000
-PREFIX = 10
-
-# Words around a value that say how it was entered, not what it is. Each is compared with a
-# whole segment of the value, with a typing error or two in the longer ones.
-QUALIFIERS = (
-    "biopsy", "by history", "clinical", "confirmed", "estimated", "final", "hx", "history of", "nos", "not otherwise specified",
-    "path", "pathology", "per chart", "possible", "prob", "probable", "reported", "second opinion", "see page", "see p", "self",
-    "self reported", "site coded", "suspected", "susp", "unconfirmed", "2nd opinion",
-)
+#: Letters of a word that deletes are taken of; more than any number of edits allowed.
+PREFIX = 7
+#: A segment is a qualifying phrase once it stands beside so many different entries.
+PHRASE_ENTRIES = 5
+#: Phrases at most; they are shipped with the dictionary.
+MOST_PHRASES = 100_000
+
 # Words that carry no meaning of their own in a name.
 FILLERS = frozenset(("a", "an", "and", "at", "in", "of", "on", "or", "than", "the", "to", "with"))
 
@@ -51,7 +50,32 @@ def allowed_alone(word: str) -> int:
     return 0 if n <= 3 else 1 if n <= 5 else 2
 
 
-@lru_cache(maxsize=200_000)
+def edits(a: str, b: str, most: int) -> int:
+    """Damerau-Levenshtein distance (optimal string alignment) by count, most + 1 for all beyond `most`."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    lo, i, j = 0, len(a), len(b)
+    while i and j and a[i - 1] == b[j - 1]:
+        i, j = i - 1, j - 1
+    while lo < i and lo < j and a[lo] == b[lo]:
+        lo += 1
+    a, b = a[lo:i], b[lo:j]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row = [i + 1]
+        for j, y in enumerate(b):
+            best = last[j] if x == y else 1 + min(last[j], last[j + 1], row[j])
+            if i and j and x == b[j - 1] and a[i - 1] == y and before[j - 1] < best:
+                best = before[j - 1] + 1
+            row.append(best)
+        if min(row) > most:
+            return most + 1
+        before, last = last, row
+    return min(last[-1], most + 1)
+
+
 def distance(a: str, b: str, most: float) -> float:
     """Weighted Damerau-Levenshtein distance (optimal string alignment), inf beyond `most`.
 
@@ -77,41 +101,72 @@ def distance(a: str, b: str, most: float) -> float:
 
 
 def deletes(word: str, most: int) -> set[str]:
-    """The word with up to `most` letters of its first PREFIX deleted."""
+    """The word's first PREFIX letters with up to `most` of them deleted. Two words within k edits share one of
+    these sets' members for k deletes each: what an edit touches is deleted on both sides, and so is what
+    is shifted over the border of the prefix."""
     head = word[:PREFIX]
     out = {head}
     for k in range(1, min(most, len(head)) + 1):
-        out.update("".join(head[i] for i in range(len(head)) if i not in gone) for gone in combinations(range(len(head)), k))
+        out.update(map("".join, combinations(head, len(head) - k)))
+    return out
+
+
+def _letters(word: str) -> int:
+    """A set of letters in 64 bits; an edit changes two of them at most."""
+    out = 0
+    for ch in word:
+        out |= 1 << (ord(ch) & 63)
     return out
 
 
 class SymmetricDelete:
-    """Lookup of all words within their allowed distance, by deletes of both sides."""
+    """Lookup of all words within their allowed number of edits, by deletes of both sides."""
 
     def __init__(self, entries: list[str], bound=allowed):
-        self.bound, self.known = bound, set(entries)
-        self.index: dict[str, list[str]] = defaultdict(list)
+        self.known = set(entries)
+        self.index: dict[str, list[tuple[str, int, int]]] = defaultdict(list)
+        #: deletes a word of each length needs, by the entries near that length
+        self.reach: dict[int, int] = defaultdict(int)
         for w in self.known:
-            for d in deletes(w, bound(w)):
-                self.index[d].append(w)
+            k = bound(w)
+            entry = (w, k, _letters(w))
+            for d in deletes(w, k):
+                self.index[d].append(entry)
+            for n in range(len(w) - k, len(w) + k + 1):
+                self.reach[n] = max(self.reach[n], k)
 
     def find(self, word: str) -> list[tuple[str, float]]:
-        """(entry, cost) of the entries within reach; of an exact entry, that alone."""
+        """(entry, weighted cost) of the entries within their edits; of an exact entry, that alone."""
         if word in self.known:
             return [(word, 0.0)]
-        seen: dict[str, float] = {}
-        for d in deletes(word, 3):
-            for w in self.index.get(d, ()):
+        if len(word) not in self.reach:
+            return []
+        seen, out, mine = set(), [], _letters(word)
+        for d in deletes(word, self.reach[len(word)]):
+            for w, k, letters in self.index.get(d, ()):
                 if w not in seen:
-                    seen[w] = distance(word, w, float(self.bound(w)))
-        return [(w, c) for w, c in seen.items() if c != float("inf")]
+                    seen.add(w)
+                    if (mine ^ letters).bit_count() <= 2 * k and edits(word, w, k) <= k:
+                        out.append((w, distance(word, w, float(k))))
+        return out
+
+
+#: Fillers with a typing error.
+NEAR_FILLERS = SymmetricDelete([f for f in FILLERS if len(f) > 2], lambda w: 1)
+
+
+def phrase_edits(phrase: str) -> int:
+    """Edits allowed against a qualifying phrase."""
+    n = len(phrase)
+    return 0 if n < 4 else 1 if n < 7 else 2
 
 
 class Dictionary:
     """The reference entries of one category, ready for lookup."""
 
-    def __init__(self, surfaces: list[tuple[int, str, float]]):
-        """surfaces: (term_id, name, frequency)."""
+    def __init__(self, surfaces: list[tuple[int, str, float]], phrases: tuple[str, ...] = ()):
+        """surfaces: (term_id, name, frequency). phrases: what may stand beside a name without changing it; one
+        of which all words stand in the category's names is none there."""
         self.exact: dict[str, tuple[float, int]] = {}
         self.frequency: dict[int, float] = {}
         self.entries: list[tuple[int, list[str], frozenset[str]]] = []
@@ -127,6 +182,8 @@ class Dictionary:
             if len("".join(w)) >= 6:
                 joined["".join(w)].append(term)
         vocabulary = {w for _, ws, _ in self.entries for w in ws}
+        self.phrases = SymmetricDelete([p for p in phrases if not set(p.split()) <= vocabulary], phrase_edits)
+        self.qualifies: dict[str, bool] = {}
         self.lookup = SymmetricDelete(sorted(vocabulary))
         self.by_word: dict[str, list[int]] = defaultdict(list)
         for k, (_, _, need) in enumerate(self.entries):
@@ -142,14 +199,17 @@ class Dictionary:
         self.cut_short = SymmetricDelete(sorted(starts), lambda w: 0 if len(w) < 5 else 1)
         self.memo: dict[tuple[str, bool], dict[str, float]] = {}
 
-    def candidates(self, word: str, shortened: bool) -> dict[str, float]:
-        """Reference words the word may be, with their costs."""
-        known = self.memo.get((word, shortened))
-        if known is None:
+    def candidates(self, word: str, shortened: bool, known: frozenset[str]) -> dict[str, float]:
+        """Reference words the word may be, with their costs. known: words of the value that other blocks of the
+        reference have."""
+        found = self.memo.get((word, shortened))
+        if found is None:
             if len(self.memo) >= 200_000:
                 self.memo.clear()
-            known = self.memo[word, shortened] = self._candidates(word, shortened)
-        return known
+            found = self.memo[word, shortened] = self._candidates(word, shortened)
+        if word in known and word not in self.lookup.known:
+            return {w: c for w, c in found.items() if shortened and w.startswith(word)}
+        return found
 
     def _candidates(self, word: str, shortened: bool) -> dict[str, float]:
         found = dict(self.lookup.find(word))
@@ -159,15 +219,34 @@ class Dictionary:
                     found[w] = min(found.get(w, float("inf")), cost + 0.3)
         return found
 
-    def best(self, value: str) -> tuple[int, float]:
-        """(term_id, cost), or (0, 0.0) for no entry."""
-        found = [x for t in variants(value) if (x := self._match(t))]
+    def best(self, value: str, known: frozenset[str] = frozenset()) -> tuple[int, float, float]:
+        """(term_id, cost, frequency), or (0, 0.0, 0.0) for no entry."""
+        found = [x for t in self.variants(value) if (x := self._match(t, known))]
         if not found:
-            return 0, 0.0
-        cost, _, term = min(found)
-        return term, cost
+            return 0, 0.0, 0.0
+        cost, frequency, term = min(found)
+        return term, cost, -frequency
+
+    def _qualifier(self, segment: str) -> bool:
+        s = phrase_of(segment)
+        found = self.qualifies.get(s)
+        if found is None:
+            if len(self.qualifies) >= 200_000:
+                self.qualifies.clear()
+            found = self.qualifies[s] = bool(s) and bool(self.phrases.find(s))
+        return found
 
-    def _match(self, text: str) -> tuple[float, float, int] | None:
+    def variants(self, value: str) -> list[str]:
+        """The value as it is, and without the segments that only qualify it."""
+        kept = segments(value)
+        if len(kept) < 2 or not self.phrases.known:
+            return [value]
+        drop = [self._qualifier(t) for t, _ in kept]
+        if any(drop) and not all(drop):
+            return [value, _without(kept, drop)]
+        return [value]
+
+    def _match(self, text: str, known: frozenset[str]) -> tuple[float, float, int] | None:
         tokens = re.findall(r"[^\W_]+\.?", fold(text))
         plain = [t.rstrip(".") for t in tokens]
         if not plain:
@@ -176,11 +255,11 @@ class Dictionary:
             return 0.0, hit[0], hit[1]
         options = []
         for raw, w in zip(tokens, plain):
-            c = self.candidates(w, raw.endswith("."))
+            c = self.candidates(w, raw.endswith("."), known)
             if w in FILLERS and not c:
                 continue
             if not c:
-                if w not in FILLERS and not any(distance(w, f, 1.0) <= 1.0 for f in FILLERS if len(f) > 2):
+                if w not in FILLERS and not NEAR_FILLERS.find(w):
                     options = None
                     break
                 continue
@@ -226,82 +305,138 @@ class Dictionary:
         return best
 
 
-def _qualifier(segment: str) -> bool:
-    # a page or form number goes with the words before it
-    w = [x for x in words(segment) if not x.isdigit()]
-    if not w:
-        return False
-    s = " ".join(w)
-    return any(distance(s, q, 0.0 if len(q) < 4 else 1.0 if len(q) < 7 else 2.0) < 3 for q in QUALIFIERS)
-
-
-def variants(value: str) -> list[str]:
-    """The value as it is, and without the segments that only qualify it. Segments are parted by brackets, `/`,
-    `:`, `,`, `;`, and by a dash or a full stop with white space."""
-    out = [value]
+def segments(value: str) -> list[tuple[str, str]]:
+    """(text, the mark behind it) of the segments of a value that have text. They are parted by brackets, `/`,
+    `:`, `,`, `;`, `?`, `*`, `=`, and by a dash or a full stop with white space."""
     parts = re.split(r"([\[\](){}/:,;?*=]+|\s[-‐-―]+\s|\.\s)", value)
-    texts, marks = parts[::2], [*parts[1::2], ""]
-    kept = [(t, m) for t, m in zip(texts, marks) if t.strip()]
-    drop = [_qualifier(t) for t, _ in kept]
-    for k, (t, m) in enumerate(kept):  # "see p. 2": the full stop parts the words from their number
-        if k and drop[k - 1] and kept[k - 1][1].startswith(".") and t.strip(" )]").isdigit():
-            drop[k] = True
-    if any(drop) and not all(drop):
-        out.append(" ".join(t + (m if m.startswith(".") else " ") for (t, m), d in zip(kept, drop) if not d))
+    out: list[tuple[str, str]] = []
+    for t, m in zip(parts[::2], [*parts[1::2], ""]):
+        if out and out[-1][1].startswith(".") and t.strip().isdigit():  # "see p. 2": the number goes with its words
+            out[-1] = (out[-1][0] + out[-1][1] + t, m)
+        elif t.strip():
+            out.append((t, m))
     return out
 
 
-def map_values(values: DataFrame, reference: DataFrame, category: str = "category", value: str = "value", block: int = BLOCK) -> DataFrame:
+def phrase_of(segment: str) -> str:
+    """The words of a segment without numbers: a page or form number goes with the words before it."""
+    return " ".join(x for x in words(segment) if not x.isdigit())
+
+
+def _without(kept: list[tuple[str, str]], drop: list[bool]) -> str:
+    return " ".join(t + (m if m.startswith(".") else " ") for (t, m), d in zip(kept, drop) if not d)
+
+
+def _beside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(category, key, phrase): each segment of a value, and the words of the value without it."""
+    for frame in frames:
+        rows = []
+        for c, value in zip(frame["category"], frame["value"]):
+            kept = segments(value)
+            for k in range(len(kept) if len(kept) > 1 else 0):
+                phrase = phrase_of(kept[k][0])
+                if phrase:
+                    rows.append((c, " ".join(words(_without(kept, [i == k for i in range(len(kept))]))), phrase))
+        yield pd.DataFrame(rows, columns=["category", "key", "phrase"])
+
+
+@F.pandas_udf(StringType())
+def _key(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: " ".join(words(x)))
+
+
+def learn_phrases(distinct: DataFrame, names: DataFrame, entries: int = PHRASE_ENTRIES) -> list[str]:
+    """Segments that qualify a value and don't name it: those that stand beside the names of at least `entries`
+    different entries, the rest of the value being a name word by word. Learnt from all values, joined with the
+    names by their words; the phrases themselves are few, and more than MOST_PHRASES are an error."""
+    found = spread(distinct).mapInPandas(_beside, "category string, key string, phrase string")
+    found = found.join(names.select("category", _key("name").alias("key"), "term_id"), ["category", "key"])
+    found = found.groupBy("phrase").agg(F.countDistinct("category", "term_id").alias("n")).where(F.col("n") >= entries)
+    rows = found.select("phrase").limit(MOST_PHRASES + 1).collect()
+    if len(rows) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} qualifying phrases")
+    return sorted(r.phrase for r in rows)
+
+
+_READY: dict[str, dict] = {}
+
+
+def _dictionaries(shipped) -> dict:
+    """The dictionaries of a block, built once a worker."""
+    block, surfaces, phrases = shipped.value
+    if block not in _READY:
+        _READY.clear()
+        by: dict[str, list] = defaultdict(list)
+        for c, term, name, f in surfaces:
+            by[c].append((term, name, f))
+        _READY[block] = {c: Dictionary(s, phrases) for c, s in by.items()}
+    return _READY[block]
+
+
+def map_values(
+    values: DataFrame, reference: DataFrame, category: str = "category", value: str = "value", block: int = BLOCK, phrases: list[str] | None = None
+) -> DataFrame:
     """(category, value, rows, term_id, cost) for each distinct pair of `values` that is neither NULL nor
     blank: the entry of the same category the value means, and 0 for none.
 
     reference: term_id, category, term, synonyms. A value means an entry if all the words of one of its names
-    stand in it, in any order, each within its allowed number of edits, and no other words but fillers;
-    segments that qualify (`- confirmed`, `(biopsy)`) don't count, a word ending in a full stop may be cut
-    short, and words may be run together. A word the reference knows is taken as that word only. The
-    cheapest entry by weighted Damerau-Levenshtein distance wins, then the one found more often as written
-    in the values, then the smaller term_id. An empty reference or category gives 0.
+    stand in it, in any order, each within its allowed number of edits, and no other words but fillers. A word
+    ending in a full stop may be cut short, and words may be run together. Segments that only qualify (`-
+    confirmed`, `(biopsy)`) don't count: `phrases` are those, with a typing error or two in the longer ones; by
+    default they are learnt from the values (learn_phrases), and [] stands for none. A word the reference
+    knows is taken as that word only. The cheapest entry by weighted Damerau-Levenshtein distance wins, then the one
+    found more often as written in the values, then the smaller term_id. An empty reference or category gives 0.
 
     Plan: values are counted per distinct value first, so a value with a third of all rows is looked up
     once. The symmetric-delete dictionary is shipped in blocks of `block` names, whatever the length of the
-    list, and the best of all blocks taken.
+    list, and the best of all blocks taken. The result is a table, so that each value is looked up once
+    however often the result is read.
     """
     spark = values.sparkSession
     v = F.col(value).cast("string")
     distinct = values.where(v.isNotNull() & v.rlike(r"[^\s\p{Z}]")).groupBy(F.col(category).alias("category"), v.alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    distinct, _ = materialize(distinct, "values")
-    distinct = spread(distinct)
+    distinct, values_at = materialize(distinct, "values")
     names = reference.select(
         "term_id", F.col(category).alias("category"), F.explode(F.array_union(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("name")
     ).where(F.col("name").isNotNull())
     # how often each name stands in the values as written, letter case aside
     seen = distinct.groupBy("category", F.lower(F.trim("value")).alias("_k")).agg(F.sum("rows").alias("f"))
     names = names.withColumn("_k", F.lower(F.trim("name"))).join(seen, ["category", "_k"], "left").fillna(0, ["f"])
-    names, _ = materialize(names.select("category", "term_id", "name", "f"), "names")
+    names, names_at = materialize(names.select("category", "term_id", "name", "f"), "names")
+    learnt = learn_phrases(distinct, names) if phrases is None else sorted({phrase_of(p) for p in phrases} - {""})
     total = names.count()
     blocks = max(1, -(-total // block))
+    asked = spread(distinct)
+    known_at = None
     if blocks > 1:
         # by the hash of the entry, so that a block holds whole entries
         names = names.withColumn("_b", F.pmod(F.xxhash64("term_id"), F.lit(blocks)))
+        # the words of each value that any block has: elsewhere they are no typing errors
+        parted = F.udf(lambda x: sorted(set(words(x))), "array<string>")
+        have = names.select("category", F.explode(parted("name")).alias("w")).distinct()
+        mine = distinct.select("category", "value", F.explode(parted("value")).alias("w")).join(have, ["category", "w"])
+        asked = distinct.join(mine.groupBy("category", "value").agg(F.collect_list("w").alias("known")), ["category", "value"], "left")
+        asked, known_at = materialize(asked, "known")
     out = None
     for b in range(blocks):
         mine = names.where(F.col("_b") == b) if blocks > 1 else names
-        shipped = spark.sparkContext.broadcast([(r.category, r.term_id, r.name, float(r.f)) for r in mine.toLocalIterator()])
+        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.category, r.term_id, r.name, float(r.f)) for r in mine.toLocalIterator()], tuple(learnt)))
 
         def look(frames: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            by: dict[str, list] = defaultdict(list)
-            for c, term, name, f in shipped.value:
-                by[c].append((term, name, f))
-            ready = {c: Dictionary(s) for c, s in by.items()}
+            ready = _dictionaries(shipped)
             for frame in frames:
-                best = [ready[c].best(x) if c in ready else (0, 0.0) for c, x in zip(frame["category"], frame["value"])]
-                yield frame.assign(term_id=[t for t, _ in best], cost=[c for _, c in best])
+                known = [frozenset(k if k is not None else ()) for k in frame["known"]] if "known" in frame else [frozenset()] * len(frame)
+                best = [ready[c].best(x, k) if c in ready else (0, 0.0, 0.0) for c, x, k in zip(frame["category"], frame["value"], known)]
+                yield frame[["category", "value", "rows"]].assign(term_id=[t for t, _, _ in best], cost=[c for _, c, _ in best], f=[f for _, _, f in best])
 
-        found = distinct.mapInPandas(look, "category string, value string, rows long, term_id long, cost double")
+        found = asked.mapInPandas(look, "category string, value string, rows long, term_id long, cost double, f double")
         out = found if out is None else out.unionByName(found)
     if blocks > 1:
-        pick = F.min_by(F.struct("term_id", "cost"), F.struct(F.col("term_id") == 0, "cost", "term_id"))
+        pick = F.min_by(F.struct("term_id", "cost"), F.struct(F.col("term_id") == 0, "cost", -F.col("f"), "term_id"))
         out = out.groupBy("category", "value").agg(F.first("rows").alias("rows"), pick.alias("b")).select("category", "value", "rows", "b.term_id", "b.cost")
+    out, _ = materialize(out.select("category", "value", "rows", "term_id", "cost"), "mapped")
+    for at in (values_at, names_at, *([known_at] if known_at else [])):
+        remove_path(spark, at)
     return out
 
 

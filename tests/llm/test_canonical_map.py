@@ -15,7 +15,11 @@ CASES = [
 ]
 
 
+PHRASES = ["confirmed", "biopsy", "prob", "hx", "site coded", "2nd opinion", "see p. 2"]
+
+
 def mapped(spark, rows, terms=TERMS, **kw):
+    kw = {"phrases": PHRASES} | kw
     ref = spark.createDataFrame([(*t, "x") for t in terms], "term_id long, category string, term string, synonyms array<string>, value string")
     df = spark.createDataFrame(rows, "category string, value string, rows int")
     return {(r.category, r.value): (r.term_id, r.rows) for r in cm.map_values(df, ref, **kw).collect()}
@@ -38,6 +42,24 @@ def test_more_frequent_entry_wins_an_equal_distance(spark):
     assert got["c", "marker alphz"][0] == 2
 
 
+def test_phrases_are_learnt_and_can_be_left_out(spark):
+    organs = ["lung", "colon", "skin", "brain", "liver", "ovary"]
+    terms = [(k, "d", f"Cyst of {o}", []) for k, o in enumerate(organs, 1)] + [(9, "d", "Benign polyp", [])]
+    rows = [("d", form.format(o), 0) for o in organs for form in ("cyst of {} - reviewed", "Sent in: cyst of {}", "cyst of {} / see p. 7")]
+    rows += [("d", v, 0) for v in ("cyst of lnug - reveiwed", "cyst of lung (seldom)", "cyst of skin, benign polyp", "cyst of brain / see p. 31")]
+    got = {k[1]: v[0] for k, v in mapped(spark, rows, terms, phrases=None).items()}
+    assert [got[f"cyst of {o} - reviewed"] for o in organs] == [1, 2, 3, 4, 5, 6] == [got[f"Sent in: cyst of {o}"] for o in organs]
+    assert (got["cyst of lnug - reveiwed"], got["cyst of lung (seldom)"], got["cyst of skin, benign polyp"], got["cyst of brain / see p. 31"]) == (1, 0, 0, 4)
+    plain = {k[1]: v[0] for k, v in mapped(spark, rows, terms, phrases=[]).items()}
+    assert plain["cyst of colon - reviewed"] == 0 and plain["cyst of colon / see p. 7"] == 0
+
+
+def test_blocks_know_each_others_words_and_frequencies(spark):
+    terms = [(k, "c", f"Marker {w}", []) for k, w in enumerate(["alpha", "alphb", "gamma", "gamna", "delta", "omega"], 1)]
+    rows = [("c", v, 0) for v in ("marker alphz", "Marker alphb", "Marker alphb", "Marker gamna", "gamma", "marker gamma", "marker gmma", "marker delto")]
+    assert mapped(spark, rows, terms, block=1) == mapped(spark, rows, terms)
+
+
 def test_empty_tables_and_long_values(spark):
     assert mapped(spark, []) == {}
     assert mapped(spark, [("race", "White", 0)], []) == {("race", "White"): (0, 1)}
@@ -56,6 +78,41 @@ def test_distance(a, b, d):
     assert cm.distance(a, b, 2.0) == d
 
 
+def test_lookup_equals_all_pairs():
+    import random
+
+    rng = random.Random(4)
+    names = ["carcinoma", "sarcoma", "lymphoma", "kidney", "lung", "of", "eye", "mucinous", "cystadenoma", "endometrium", "aab", "nodes", "toluene", "adenocarcinoma", "abcabcabcabc"]
+    table = cm.SymmetricDelete(names)
+    for _ in range(6000):
+        w = list(rng.choice(names))
+        for _ in range(rng.randrange(5)):
+            k, kind = rng.randrange(len(w) + 1), rng.randrange(5)
+            if kind == 0:
+                w.insert(k, rng.choice("abcxyz"))
+            elif kind == 1 and k < len(w) > 1:
+                del w[k]
+            elif kind == 2 and k < len(w):
+                w[k] = rng.choice("abcxyz")
+            elif kind == 3 and k + 1 < len(w):
+                w[k], w[k + 1] = w[k + 1], w[k]
+            elif k < len(w):
+                w.insert(k, w[k])
+        w = "".join(w)
+        every = {n: cm.distance(w, n, 99.0) for n in names if osa(w, n) <= cm.allowed(n)}
+        assert dict(table.find(w)) == ({w: 0.0} if w in names else every)
+
+
+def osa(a, b):
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
 def test_deletes_find_all_within_reach():
     import itertools
 
