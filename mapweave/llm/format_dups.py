@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.util import join_by_group, materialize
+from mapweave.util import join_by_group, materialize, remove_path, scratch_path
 
-SHARD_BITS = 23
+#: Bits of a filter's shard, by their logarithm; a shard is merged and tested in one task.
+SHARD_BITS = 21
 PROBES = 3
 BITS_PER_ROW = 16
-#: Bytes of filter broadcast at a time. A larger filter is broadcast and tested in several rounds.
-ROUND_BYTES = 64 << 20
+#: A row number holds its partition above these bits.
+PARTITION_SHIFT = 33
 
 
 def canonical_text(c: Column) -> Column:
@@ -59,79 +60,140 @@ def _positions(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return shard.astype(np.int64), at.astype(np.uint32)
 
 
-def _pack(at: np.ndarray) -> bytes:
-    return zlib.compress(np.unique(at).astype("<u4").tobytes(), 1)
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted whole numbers, by their differences."""
+    return zlib.compress(np.diff(np.sort(values), prepend=0).astype("<i8").tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i8"))
+
+
+_PARTS = "shard long, once binary, twice binary, hashes binary, numbers binary"
+_MARKS = "part long, numbers binary"
 
 
 def _builder(shards: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The two filters of one partition: hashes it saw, and hashes it saw repeatedly."""
-        seen = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
+        """Of one partition and each shard: the filters of hashes it saw, and of those it saw repeatedly, and the
+        hashes and numbers of rows whose hash it saw once. Rows of hashes it saw repeatedly come out as shard -1:
+        they are repeats whatever the others saw, so a hash reaches a shard once from each partition at most."""
+        seen = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
         if not seen:
             return
-        h, n = np.unique(np.concatenate(seen), return_counts=True)
-        shard, at = _positions(h, shards)
+        h, number = (np.concatenate([x[k] for x in seen]) for k in range(2))
+        distinct, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        lone = n[back] == 1
+        rows = []
+        for part in np.unique(number[~lone] >> PARTITION_SHIFT):
+            rows.append((-1, None, None, None, _pack(number[~lone & (number >> PARTITION_SHIFT == part)])))
+        shard, at = _positions(distinct, shards)
+        first = np.zeros(len(distinct), np.int64)
+        first[back] = number
         order = np.argsort(shard, kind="stable")
-        shard, at, n = shard[order], at[order], n[order]
-        for part in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
-            repeated = part[n[part] > 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(shard[part[0]])], pa.int64()), pa.array([_pack(at[part])], pa.binary()), pa.array([_pack(at[repeated])], pa.binary())],
-                ["shard", "once", "twice"],
-            )
+        for mine in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            one = mine[n[mine] == 1]
+            rows.append((int(shard[mine[0]]), _pack(np.unique(at[mine])), _pack(np.unique(at[mine[n[mine] > 1]])), distinct[one].astype("<i8").tobytes(), first[one].astype("<i8").tobytes()))
+        kinds = [pa.int64(), *[pa.binary()] * 4]
+        for lo in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[lo : lo + 64]], kinds[j]) for j in range(5)], ["shard", "once", "twice", "hashes", "numbers"])
 
     return build
 
 
-def _merge(key, parts):
-    """Partitions' filters of a shard merged: repeated is what either saw repeatedly, or both saw."""
-    once, twice = (np.zeros(1 << SHARD_BITS, bool) for _ in range(2))
-    for a, b in zip(parts.column("once"), parts.column("twice")):
-        mine = np.frombuffer(zlib.decompress(a.as_py()), "<u4")
-        twice[mine[once[mine]]] = True
-        twice[np.frombuffer(zlib.decompress(b.as_py()), "<u4")] = True
-        once[mine] = True
-    bits = zlib.compress(np.packbits(twice).tobytes(), 1)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.binary())})
-
-
-def _tester(bits, shards: int):
-    """Whether the broadcast repeat filter (shard -> packed bits) may hold a hash."""
-
+def _test(shards: int):
+    def test(parts: pa.Table) -> pa.Table:
+        """The partitions' filters of a shard merged (repeated is what either saw repeatedly, or both saw), and the
+        rows of the shard that it may have seen repeatedly, by the partition they stand in."""
+        once, twice = (np.zeros(1 << SHARD_BITS, bool) for _ in range(2))
+        columns = [parts.column(c) for c in ("once", "twice", "hashes", "numbers")]
+        for a, b in zip(*columns[:2]):
+            mine = _unpack(a.as_py())
+            twice[mine[once[mine]]] = True
+            twice[_unpack(b.as_py())] = True
+            once[mine] = True
+        found = []
+        for h, number in zip(*columns[2:]):
+            h, number = (np.frombuffer(x.as_py(), "<i8") for x in (h, number))
+            if len(h):
+                found.append(number[twice[_positions(h, shards)[1]].all(axis=1)])
+        number = np.concatenate(found) if found else np.zeros(0, np.int64)
+        part = number >> PARTITION_SHIFT
+        order = np.argsort(part, kind="stable")
+        groups = [g for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(g)]
+        return pa.table({"part": pa.array([int(part[g[0]]) for g in groups], pa.int64()), "numbers": pa.array([_pack(number[g]) for g in groups], pa.binary())})
+
+    return test
+
+
+_MARKED: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _marked(path: str, part: int) -> np.ndarray:
+    """Numbers of the possible repeats of a partition, from the shared folder; the last few are kept."""
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    if (path, part) not in _MARKED:
+        system, base = fs.FileSystem.from_uri(path)
+        at = f"{base}/at={part}"
+        found = []
+        if system.get_file_info(at).type == fs.FileType.Directory:
+            for f in system.get_file_info(fs.FileSelector(at)):
+                if f.base_name.endswith(".parquet"):
+                    with system.open_input_file(f.path) as opened:
+                        found += [_unpack(x.as_py()) for x in pq.ParquetFile(opened).read(["numbers"])["numbers"]]
+        while len(_MARKED) >= 8:
+            _MARKED.pop(next(iter(_MARKED)))
+        _MARKED[path, part] = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return _MARKED[path, part]
+
+
+def _tester(path: str):
     @F.pandas_udf("boolean")
-    def possible(h: pd.Series) -> pd.Series:
-        shard, at = _positions(h.to_numpy(), shards)
-        found = np.zeros(len(h), bool)
-        for s in np.unique(shard):
-            packed = bits.value.get(int(s))
-            if packed is None:
-                continue
-            table, mine = np.frombuffer(zlib.decompress(packed), np.uint8), shard == s
-            p = at[mine]
-            found[mine] = ((table[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
+    def possible(number: pd.Series) -> pd.Series:
+        n = number.to_numpy()
+        found = np.zeros(len(n), bool)
+        part = n >> PARTITION_SHIFT
+        for p in np.unique(part):
+            marks, mine = _marked(path, int(p)), part == p
+            if len(marks):
+                at = np.minimum(np.searchsorted(marks, n[mine]), len(marks) - 1)
+                found[mine] = marks[at] == n[mine]
         return pd.Series(found)
 
     return possible
 
 
-def mark_possible_repeats(df: DataFrame, hash_col: str, rows: int) -> DataFrame:
-    """df with the boolean `_repeat`: False only for rows whose hash no other row has.
+def mark_possible_repeats(df: DataFrame, hash_col: str) -> tuple[DataFrame, int, list[str]]:
+    """df with the boolean `_repeat`, False only for rows whose hash no other row has; the number of rows, and the
+    paths of the tables it is read from.
 
-    The filters of once-seen and repeatedly-seen hashes are built per partition, merged per shard of
-    2^SHARD_BITS bits (only set positions travel, 12 bytes a row at most), and the repeat filter is broadcast in
-    rounds of ROUND_BYTES, whatever the number of rows.
+    The rows are written once, each with its partition and place as number. The filters of once-seen and
+    repeatedly-seen hashes are built per partition and merged per shard of 2^SHARD_BITS bits, and each shard
+    is tested where it is merged: of every row only hash and number travel there, of possible repeats the
+    number comes back, into a table by partition that the tasks reading a partition look up. Nothing goes
+    through the driver or to all executors, whatever the number of rows.
     """
     spark = df.sparkSession
-    shards = max(1, math.ceil(rows * BITS_PER_ROW / (1 << SHARD_BITS)))
-    parts = df.select(hash_col).mapInArrow(_builder(shards), "shard long, once binary, twice binary")
-    merged, _ = materialize(parts.groupBy("shard").applyInArrow(_merge, "shard long, bits binary"), "bloom")
-    per_round = max(1, ROUND_BYTES >> (SHARD_BITS - 3))
-    out = df.withColumn("_repeat", F.lit(False))
-    for lo in range(0, shards, per_round):
-        part = merged.where((F.col("shard") >= lo) & (F.col("shard") < lo + per_round))
-        bits = spark.sparkContext.broadcast({r.shard: r.bits for r in part.toLocalIterator()})
-        out = out.withColumn("_repeat", F.col("_repeat") | _tester(bits, shards)(hash_col))
-    return out
+    rows, rows_at = materialize(df.withColumn("_n", F.monotonically_increasing_id()), "numbered")
+    total = rows.count()
+    shards = max(1, math.ceil(total * BITS_PER_ROW / (1 << SHARD_BITS)))
+    parts, parts_at = materialize(rows.select(hash_col, "_n").mapInArrow(_builder(shards), _PARTS), "bloom")
+    across = parts.where(F.col("shard") >= 0).groupBy("shard").applyInArrow(_test(shards), _MARKS)
+    marks = across.select("part", "numbers").unionByName(parts.where(F.col("shard") < 0).select(_part_of("numbers").alias("part"), "numbers"))
+    path = scratch_path(spark, "marks")
+    marks.repartition("part").withColumnRenamed("part", "at").write.partitionBy("at").parquet(path)
+    remove_path(spark, parts_at)
+    return rows.withColumn("_repeat", _tester(path)("_n")).drop("_n"), total, [rows_at, path]
+
+
+def _part_of(numbers: str) -> Column:
+    @F.pandas_udf("long")
+    def part(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda x: int(_unpack(x)[0]) >> PARTITION_SHIFT).astype("int64")
+
+    return part(numbers)
 
 
 def format_duplicates(df: DataFrame, text: str, row_id: str, ignore: list[str]) -> DataFrame:
@@ -148,14 +210,19 @@ def format_duplicates(df: DataFrame, text: str, row_id: str, ignore: list[str])
     """
     others = [c for c in df.columns if c not in {text, row_id, *ignore}]
     key = F.struct(canonical_text(F.col(f"`{text}`")).alias("t"), *(_comparable(df, c).alias(f"c{k}") for k, c in enumerate(others)))
-    rows, _ = materialize(df.select(F.col(f"`{row_id}`").alias("_id"), key.alias("_k")).withColumn("_h", F.xxhash64("_k")), "canonical")
-    total = rows.count()
-    marked, _ = materialize(mark_possible_repeats(rows, "_h", total).select("_id", "_k", "_repeat"), "marked")
+    keyed = df.select(F.col(f"`{row_id}`").alias("_id"), key.alias("_k")).withColumn("_h", F.xxhash64("_k"))
+    marked, total, paths = mark_possible_repeats(keyed, "_h")
+    marked, marked_at = materialize(marked.select("_id", "_k", "_repeat"), "marked")
+    for at in paths:
+        remove_path(df.sparkSession, at)
     possible = marked.where(F.col("_repeat")).select("_id", "_k")
-    groups, _ = materialize(possible.groupBy("_k").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "copies")
+    groups, groups_at = materialize(possible.groupBy("_k").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "copies")
     copies = join_by_group(possible, groups, "_k", "copies", total).select("first_id", F.col("_id").alias("row_id"), "copies")
     single = marked.where(~F.col("_repeat")).select(F.col("_id").alias("first_id"), F.col("_id").alias("row_id"), F.lit(1).cast("long").alias("copies"))
-    return copies.unionByName(single)
+    out, _ = materialize(copies.unionByName(single), "grouped")
+    for at in (marked_at, groups_at):
+        remove_path(df.sparkSession, at)
+    return out
 
 
 def collapse_format_duplicates(df: DataFrame, text: str, row_id: str, ignore: list[str]) -> DataFrame:
