@@ -33,7 +33,13 @@ def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_reliability(spark: SparkSession, d: str) -> DataFrame:
     _, users = consensus.consensus(_votes(spark, d))
-    return users.select(F.col("user").alias("user_id"), "n", F.col("w").alias("reliability"), "accuracy", "p_accept", "p_reject", "p_correct")
+    return users.select(F.col("user").alias("user_id"), "n", F.col("w").alias("reliability"), "moved", "accuracy", "p_accept", "p_reject", "p_correct")
+
+
+def p1_spectral(spark: SparkSession, d: str) -> DataFrame:
+    """The vote weighted with the spectral reliabilities alone."""
+    items = consensus.spectral_vote(_votes(spark, d)).where(F.col("votes") >= 3)
+    return items.select(F.col("item").alias("match_id"), F.col("label").alias("decision"), F.col("value").alias("ground_truth"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +134,7 @@ def p8_cuts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p1_agreement, p1_reliability, p2_found, p2_ranked, p2_skipped, p3_found, p3_records, p4_found, p4_misses, p6_found, p6_items, p7_mix, p7_shares, p8_pieces, p8_cuts)
+    found = (p1_found, p1_agreement, p1_reliability, p1_spectral, p2_found, p2_ranked, p2_skipped, p3_found, p3_records, p4_found, p4_misses, p6_found, p6_items, p7_mix, p7_shares, p8_pieces, p8_cuts)
     return {f.__name__: f for f in found}
 
 

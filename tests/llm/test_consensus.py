@@ -100,3 +100,41 @@ def test_agreement(spark):
     rows = [("m", u, v, "") for u, v in (("a", "accept"), ("b", "accept"), ("c", "reject"))]
     items, _ = c.consensus(spark.createDataFrame(rows, VOTES))
     assert abs(items.first().agreement - 1 / 3) < 1e-9
+
+
+def test_the_spectral_vote_alone(spark):
+    truth, rows = simulated()
+    items = c.spectral_vote(spark.createDataFrame(rows, VOTES)).collect()
+    votes = defaultdict(Counter)
+    for i, _, v, _ in rows:
+        votes[i][v] += 1
+    majority = sum(votes[i].most_common(1)[0][0] == t[0] for i, t in truth.items()) / len(truth)
+    assert sum((r.label == truth[r.item][0]) for r in items) / len(truth) > majority + 0.02
+    assert c.spectral_vote(clean(spark, [])).count() == 0
+
+
+def test_weights_settle_and_say_so(spark):
+    _, rows = simulated(600)
+    _, users = c.consensus(spark.createDataFrame(rows, VOTES), tolerance=1e-5)
+    assert max(r.moved for r in users.collect()) <= 1e-5
+
+
+def test_an_item_with_most_votes_and_many_users_give_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    _, rows = simulated(250)
+    rows += [("hot", f"v{k}", "accept" if k % 5 else "correct", "" if k % 5 else "P.1") for k in range(1500)]
+    rows += [(f"m{rng.randrange(250)}", f"v{k}", rng.choice(c.LABELS[:2]), "") for k in range(300)]
+    df = spark.createDataFrame(rows, VOTES).dropDuplicates(["item", "user"])
+
+    def run():
+        items, users = c.consensus(df)
+        return {(r.item, r.label, r.value, r.votes) for r in items.collect()}, {r.user: round(r.w, 6) for r in users.collect()}
+
+    hot = run()
+    monkeypatch.setattr(c, "HOT_SHARE", 2.0)  # no item is hot
+    plain = run()
+    monkeypatch.setattr(c, "MOST_BROADCAST", 0)  # users are joined by shuffle
+    shuffled = run()
+    assert hot[0] == plain[0] == shuffled[0]
+    # a step more or less ends within the tolerance
+    assert all(abs(hot[1][u] - w) < 5e-3 and abs(shuffled[1][u] - w) < 1e-6 for u, w in plain[1].items())
