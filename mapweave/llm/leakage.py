@@ -143,8 +143,7 @@ class Seeds:
 
 def reaches(a: list[int], i: int, b: list[int], j: int, step: int, most: int) -> list[int]:
     """For e = 0, 1, ... edits: how many words of `a` from i on (in direction step) an alignment with `b` from
-    j on can cover. Furthest-reaching points per diagonal; it ends when three more edits in a row gain no
-    matching word, or the words are used up."""
+    j on can cover. Furthest-reaching points per diagonal; it ends when the words are used up."""
     na = len(a) - i if step > 0 else i + 1
     nb = len(b) - j if step > 0 else j + 1
 
@@ -155,7 +154,7 @@ def reaches(a: list[int], i: int, b: list[int], j: int, step: int, most: int) ->
         return x
 
     far = {0: slide(0, 0)}
-    out, idle = [far[0]], 0
+    out = [far[0]]
     for e in range(1, most + 1):
         new: dict[int, int] = {}
         for d in range(-e, e + 1):
@@ -172,10 +171,8 @@ def reaches(a: list[int], i: int, b: list[int], j: int, step: int, most: int) ->
         far = new
         if not far:
             break
-        best = max(max(far.values()), out[-1])
-        idle = idle + 1 if best - out[-1] <= 1 else 0
-        out.append(best)
-        if best >= na or idle >= 3:
+        out.append(max(max(far.values()), out[-1]))
+        if out[-1] >= na:
             break
     return out
 

@@ -98,3 +98,10 @@ def test_agrees_with_full_alignment():
             part = [part[:p] + ["zz"] + part[p + 1 :], part[:p] + part[p + 1 :], part[:p] + ["zz"] + part[p:]][rng.randrange(3)]
         doc = ["q1", "q2", "q3"] + part + ["q4", "q5", "q6"]
         assert hit(" ".join(doc), [(1, " ".join(item))]) == (naive(item, doc) >= 12)
+
+
+def test_a_run_of_edits_does_not_end_a_long_passage():
+    words = ITEM.split()
+    text = " ".join(words[:20] + ["zz"] * 5 + words[25:55])
+    seeds = lk.Seeds([(1, ITEM)])
+    assert max(lk.leaked_items(seeds, ["x y " + text])[0].values()) >= 55
