@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.llm.tokens import DEFAULT_VOCABULARY, Tokens
-from mapweave.util import materialize, spread
+from mapweave.util import materialize, remove_path, spread
 
-NEWTON_STEPS = 60
 #: The dual is solved when every source's expected tokens are this close to their target, relatively.
 PRECISION = 1e-6
 BINS = 4096
@@ -76,10 +75,10 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     named = spark.createDataFrame([(s,) for s in sorted({r.source for r in rows})], "source string")
     # text with no token isn't text
     docs = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    sized, _ = materialize(count_tokens(docs.join(F.broadcast(named), "source", "left_semi"), "text", vocabulary), "sizes")
-    texts, _ = materialize(sized.groupBy("source", "text_key").agg(F.min("doc_id").alias("first"), F.first("tokens").alias("tokens")), "texts")
+    sized, sized_at = materialize(count_tokens(docs.join(F.broadcast(named), "source", "left_semi"), "text", vocabulary), "sizes")
+    texts, texts_at = materialize(sized.groupBy("source", "text_key").agg(F.min("doc_id").alias("first"), F.first("tokens").alias("tokens")), "texts")
     # texts of one source and size tilt alike
-    cells, _ = materialize(texts.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")), "cells")
+    cells, cells_at = materialize(texts.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")), "cells")
     held = {r.source: (r.t, r.n) for r in cells.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()}
 
     goal: dict[tuple[str, str], float] = {}
@@ -103,10 +102,10 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
                 lam[k] = math.log(max(1e-6, goal[k] / have)) / mean
                 bracket[k] = [float("-inf"), float("inf")]
 
-    todo = set(bracket)
-    for _ in range(NEWTON_STEPS):
-        if not todo:
-            break
+    todo, steps = set(bracket), 0
+    residual: dict[tuple[str, str], float] = {}
+    while todo:
+        steps += 1
         at = spark.createDataFrame([(m, s, lam[m, s], cap[m, s]) for m, s in sorted(todo)], "mix_name string, source string, lam double, cap int")
         t = F.col("tokens").cast("double")
         r = _rate(F.col("lam"), t, F.col("cap"))
@@ -115,13 +114,15 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
         for x in sums.collect():
             k = (x.mix_name, x.source)
             gap = x.f - goal[k]
+            residual[k] = abs(gap) / goal[k]
             if abs(gap) <= PRECISION * goal[k]:
                 todo.discard(k)
                 continue
             bracket[k][gap > 0] = lam[k]
             lo, hi = bracket[k]
             step = lam[k] - gap / x.g if x.g > 0 else float("nan")
-            if not lo < step < hi:
+            # every third step halves the bracket, so the end is near however Newton's steps creep
+            if not lo < step < hi or (steps % 3 == 0 and not math.isinf(lo) and not math.isinf(hi)):
                 if math.isinf(lo):
                     step = hi - max(1e-6, 2 * abs(hi))
                 elif math.isinf(hi):
@@ -139,7 +140,7 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     u = F.pmod(F.xxhash64("mix_name", "first"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rated = texts.join(F.broadcast(solved), "source").withColumn("rate", rate).withColumn("whole", F.floor("rate"))
     rated = rated.withColumn("excess", F.when(F.col("rate") > F.col("whole"), F.col("rate") - F.col("whole") - u))
-    rated, _ = materialize(rated.select("mix_name", "source", "text_key", "first", "tokens", "rate", "whole", "excess"), "rates")
+    rated, rated_at = materialize(rated.select("mix_name", "source", "text_key", "first", "tokens", "rate", "whole", "excess"), "rates")
 
     # the excess above which one more copy is due, by two rounds of histograms
     sure = {(x.mix_name, x.source): x.t for x in rated.groupBy("mix_name", "source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("t")).collect()}
@@ -171,7 +172,7 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     more = (F.col("excess") >= F.col("least")).cast("long")
     copies = rated.join(F.broadcast(limit), ["mix_name", "source"], "left").withColumn("copies", F.col("whole") + F.coalesce(more, F.lit(0)))
     copies = copies.select("mix_name", "source", "text_key", "first", F.col("tokens").alias("text_tokens"), "rate", "copies")
-    copies, _ = materialize(copies, "copies")
+    copies, copies_at = materialize(copies, "copies")
 
     own = F.col("first") == F.col("doc_id")
     plan = sized.join(copies, ["source", "text_key"]).select(
@@ -180,7 +181,8 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     )
 
     asked = spark.createDataFrame(
-        [(m, s, goal[m, s], cap[m, s], held.get(s, (0, 0))[0]) for m, s in sorted(goal)], "mix_name string, source string, target_tokens double, max_repeats int, source_tokens long"
+        [(m, s, goal[m, s], cap[m, s], held.get(s, (0, 0))[0], residual.get((m, s))) for m, s in sorted(goal)],
+        "mix_name string, source string, target_tokens double, max_repeats int, source_tokens long, residual double",
     )
     got = copies.groupBy("mix_name", "source").agg(
         F.count_if(F.col("copies") > 0).alias("texts"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"),
@@ -194,7 +196,11 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
         "mix_name", "source", F.round("target_tokens", 3).alias("target_tokens"), "reached_tokens",
         F.round(F.try_divide("target_tokens", "_goal"), 6).alias("target_share"),
         F.round(F.try_divide("reached_tokens", "_goal"), 6).alias("share_of_total"), F.round(F.try_divide("reached_tokens", "_got"), 6).alias("share_reached"),
-        "source_tokens", "max_repeats", "texts", "copies", "most_copies",
+        "source_tokens", "max_repeats", "texts", "copies", "most_copies", "residual",
         status.when((gap <= 0.01 * F.col("target_tokens")) | (gap <= F.col("largest")), "met").otherwise(F.when(F.col("reached_tokens") > F.col("target_tokens"), "over").otherwise("short")).alias("status"),
     )
+    plan, _ = materialize(plan, "plan")
+    report, _ = materialize(report, "shares")
+    for at in (sized_at, texts_at, cells_at, rated_at, copies_at):
+        remove_path(spark, at)
     return plan, report

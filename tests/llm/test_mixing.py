@@ -74,3 +74,11 @@ def test_odd_targets(spark, goals):
 def test_no_documents(spark):
     plan, report = run(spark, [("m", "big", 1.0, 2, 0.0)], documents(spark).limit(0))
     assert plan == [] and report["m", "big"].status == "empty"
+
+
+def test_the_dual_is_solved_to_its_precision(spark, tmp_path):
+    rows = [(k, "word " * (1 + k % 37), "a" if k % 3 else "b") for k in range(300)]
+    targets = [("m", "a", 0.2, 3), ("m", "b", 0.8, 4), ("m", "c", 0.1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    report = {r.source: r for r in mixing.mix(docs, spark.createDataFrame(targets, "mix_name string, source string, target_weight double, max_repeats int"))[1].collect()}
+    assert report["a"].residual <= mixing.PRECISION and report["c"].residual is None
