@@ -3,14 +3,19 @@ the target model."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mapweave.functions import text as tx
 from mapweave.operators.kb import KnowledgeBase
 
-#: Levels of nesting walked; deeper containers come out as leaves of JSON text.
-MAX_DEPTH = 32
+#: Nodes of an Arrow batch given out at a time.
+NODE_BATCH = 20_000
 
 
 def parse_records(lines: DataFrame, resource: str = "resource", raw: str = "json") -> DataFrame:
@@ -29,48 +34,95 @@ def sample_lines(lines: DataFrame, every: int = 1, limit: int | None = None, by:
     return row_rank(kept, [by], [F.col("line_no")], "_n").where(F.col("_n") <= limit).drop("_n")
 
 
-def _is(v: Column, kind: str) -> Column:
-    return F.schema_of_variant(v).startswith(kind)
+def _member(name: str) -> Column:
+    return F.try_element_at("members", F.lit(name))
+
+
+class _Number(str):
+    """A number as it is written."""
+
 
+def _scalar(v: object) -> str | None:
+    if v is None or isinstance(v, str):
+        return v
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return json.dumps(v, separators=(",", ":"), ensure_ascii=False)
 
-def _member(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "string")
 
+def _nodes(v: object, indices: bool) -> Iterator[tuple]:
+    """(path, key, kind, seq, value, members, in_coding, in_reference) of a parsed record, parents before children."""
+    todo = [(v, "", "", "", False, False)]
+    while todo:
+        v, path, key, seq, in_coding, in_reference = todo.pop()
+        if isinstance(v, dict):
+            members = {k: s for k, x in v.items() if (s := _scalar(x)) is not None}
+            yield path, key, "object", seq, None, members, in_coding, in_reference
+            in_coding = in_coding or ("system" in members and "code" in members)
+            in_reference = in_reference or "/" in members.get("reference", "")
+            dot = path + "." if path else ""
+            inner = [(x, dot + k, k, f"{seq}/{n:06d}", in_coding, in_reference) for n, (k, x) in enumerate(v.items())]
+        elif isinstance(v, list):
+            yield path, key, "array", seq, None, None, in_coding, in_reference
+            dot = path + "." if path else ""
+            inner = [(x, dot + str(n) if indices else path, key, f"{seq}/{n:06d}", in_coding, in_reference) for n, x in enumerate(v)]
+        else:
+            yield path, key, "leaf", seq, _scalar(v), None, in_coding, in_reference
+            continue
+        todo.extend(reversed(inner))
 
-def walk(records: DataFrame, keep: tuple[str, ...] = ("resource",), indices: bool = True, depth: int = MAX_DEPTH) -> DataFrame:
-    """records (keep..., v) -> every node: (keep..., path, parent_key, v, kind, seq): kind object, array or leaf,
-    seq its place in document order.
 
-    One variant_explode a level, all records at once, until no containers are left; each level's nodes are a
-    projection of the one above, so nothing is shuffled or collected.
+def walk(records: DataFrame, keep: tuple[str, ...] = ("resource",), indices: bool = True) -> DataFrame:
+    """records (keep..., v) -> every node: (keep..., path, key, kind, seq, value, members, in_coding,
+    in_reference): kind object, array or leaf; seq its place in document order; value the text of a leaf (NULL
+    for null); members an object's members that aren't null, as text; in_coding and in_reference whether an
+    object above it has system and code, or a `Type/id` reference.
+
+    One pass over the records where they lie, to any depth; nothing is shuffled or collected.
     """
-    base = [c for c in keep]
-    kind = F.when(_is(F.col("v"), "OBJECT"), "object").when(_is(F.col("v"), "ARRAY"), "array").otherwise("leaf")
-    node = F.struct(F.lit("").alias("path"), F.lit("").alias("key"), F.col("v").alias("v"), F.lit("").alias("seq"))
-    level = records.select(*base, node.alias("n")).select(*base, "n.path", "n.key", "n.v", "n.seq").withColumn("kind", kind)
-    out = level
-    for _ in range(depth):
-        inside = level.where(F.col("kind") != "leaf")
-        if inside.isEmpty():
-            break
-        inside.createOrReplaceTempView("_walk_level")
-        cols = ", ".join(f"`{c}`" for c in base)
-        step = "CAST(e.pos AS STRING)" if indices else "''"
-        level = records.sparkSession.sql(f"""
-            SELECT {cols},
-              CASE WHEN kind = 'array' THEN concat(path, CASE WHEN path = '' OR {step} = '' THEN '' ELSE '.' END, {step})
-                   ELSE concat(path, CASE WHEN path = '' THEN '' ELSE '.' END, e.key) END AS path,
-              CASE WHEN kind = 'array' THEN _walk_level.key ELSE e.key END AS key, e.value AS v, concat(seq, '/', lpad(CAST(e.pos AS STRING), 6, '0')) AS seq
-            FROM _walk_level, LATERAL variant_explode(v) AS e""").withColumn("kind", kind)
-        out = out.unionByName(level)
-    return out
+    base = list(keep)
+    flat = records.select(*base, F.to_json("v").alias("_json"))
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in flat.schema[:-1])}, path string, key string, kind string, seq string, value string, members map<string,string>, in_coding boolean, in_reference boolean"
+    kinds = [to_arrow_type(f.dataType) for f in flat.schema[:-1]]
+    names = [*base, "path", "key", "kind", "seq", "value", "members", "in_coding", "in_reference"]
+    kinds += [pa.string()] * 5 + [pa.map_(pa.string(), pa.string()), pa.bool_(), pa.bool_()]
+
+    def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_Number).decode
+        at, rows = [], []
+
+        def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+            kept = batch.take(pa.array(at, pa.int64()))
+            columns = [kept.column(k).cast(kinds[k]) for k in range(len(base))]
+            for k in range(8):
+                column = [r[k] for r in rows]
+                if k == 5:
+                    column = [None if m is None else list(m.items()) for m in column]
+                columns.append(pa.array(column, kinds[len(base) + k]))
+            at.clear()
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            for k, text in enumerate(batch.column(len(base)).to_pylist()):
+                if text is None:
+                    continue
+                for node in _nodes(read(text), indices):
+                    rows.append(node)
+                    at.append(k)
+                    if len(rows) >= NODE_BATCH:
+                        yield out(batch)
+            if rows:
+                yield out(batch)
+
+    return flat.mapInArrow(spread_out, schema)
 
 
 def field_usage(nodes: DataFrame, samples: int = 10) -> DataFrame:
     """(path, n, resource, samples): leaves by path without indices; how often each occurs, the first
     resource it stood in, and the first distinct values, cut to 100 characters."""
     leaf = nodes.where((F.col("kind") == "leaf") & (F.col("path") != "")).select(
-        tx.normalize_path(F.col("path")).alias("path"), "resource", "ord", "seq", F.left(F.col("v").try_cast("string"), F.lit(100)).alias("value")
+        tx.normalize_path(F.col("path")).alias("path"), "resource", "ord", "seq", F.left("value", F.lit(100)).alias("value")
     )
     counted = leaf.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min_by("resource", F.struct("ord", "seq")).alias("resource"))
     firsts = leaf.where(F.col("value").isNotNull()).groupBy("path", "value").agg(F.min(F.struct("ord", "seq")).alias("o"))
@@ -81,23 +133,12 @@ def field_usage(nodes: DataFrame, samples: int = 10) -> DataFrame:
     return counted.join(ten, "path", "left")
 
 
-def _unless_inside(nodes: DataFrame, hit: Column) -> DataFrame:
-    """Nodes that are hits and have no hit above them in their record."""
-    hits = nodes.where(hit)
-    above = hits.select(F.col("ord").alias("_o"), F.col("seq").alias("_s"))
-    parts = F.split("seq", "/")
-    ups = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    inner = hits.select("ord", "seq", F.explode(ups).alias("_u")).where(F.col("_u") != F.col("seq"))
-    inner = inner.join(above, (F.col("ord") == F.col("_o")) & (F.col("_u") == F.col("_s")), "left_semi").select("ord", "seq").distinct()
-    return hits.join(inner, ["ord", "seq"], "left_anti")
-
-
 def codings(nodes: DataFrame) -> DataFrame:
-    """(ord, seq, resource, path, system, code, display) of objects with system and code."""
-    system, code = _member(F.col("v"), "system"), _member(F.col("v"), "code")
-    found = _unless_inside(nodes, (F.col("kind") == "object") & system.isNotNull() & code.isNotNull())
+    """(ord, seq, resource, path, system, code, display) of objects with system and code, none of them within another."""
+    system, code = _member("system"), _member("code")
+    found = nodes.where((F.col("kind") == "object") & system.isNotNull() & code.isNotNull() & ~F.col("in_coding"))
     path = F.concat_ws(".", F.col("resource"), F.when(F.col("path") != "", tx.normalize_path(F.col("path"))))
-    return found.select("ord", "seq", "resource", path.alias("path"), system.alias("system"), code.alias("code"), F.coalesce(_member(F.col("v"), "display"), F.lit("")).alias("display"))
+    return found.select("ord", "seq", "resource", path.alias("path"), system.alias("system"), code.alias("code"), F.coalesce(_member("display"), F.lit("")).alias("display"))
 
 
 def coding_usage(found: DataFrame) -> DataFrame:
@@ -110,9 +151,9 @@ def coding_systems(usage: DataFrame) -> DataFrame:
 
 
 def references(nodes: DataFrame) -> DataFrame:
-    """(ord, seq, resource, field, target) of objects with a `Type/id` reference."""
-    ref = _member(F.col("v"), "reference")
-    found = _unless_inside(nodes, (F.col("kind") == "object") & ref.contains("/"))
+    """(ord, seq, resource, field, target) of objects with a `Type/id` reference, none of them within another."""
+    ref = _member("reference")
+    found = nodes.where((F.col("kind") == "object") & ref.contains("/") & ~F.col("in_reference"))
     return found.select("ord", "seq", "resource", F.col("key").alias("field"), F.split_part(ref, F.lit("/"), F.lit(1)).alias("target"))
 
 
@@ -125,8 +166,7 @@ def mapping_pairs(nodes: DataFrame, schema: Column) -> DataFrame:
     pairs by the term in their system URL, displays give content pairs."""
     # what lies below the keys system, code, display and value is passed over
     obj = nodes.where((F.col("kind") == "object") & ~F.col("path").rlike(r"(^|\.)(system|code|display|value)(\.[0-9]+)*(\.|$)"))
-    v = F.col("v")
-    system, value, code, display = (_member(v, x) for x in ("system", "value", "code", "display"))
+    system, value, code, display = (_member(x) for x in ("system", "value", "code", "display"))
     path = F.concat_ws(".", F.col("resource"), F.when(F.col("path") != "", tx.normalize_path(F.col("path"))))
     rows = obj.select("ord", "seq", "resource", schema.alias("schema"), path.alias("path"), system.alias("system"), value.alias("value"), code.alias("code"), display.alias("display"), tx.url_term(system).alias("term"))
     ident = rows.where(F.col("system").isNotNull() & F.col("value").isNotNull() & ~F.lower("path").contains("coding") & (F.col("term") != ""))

@@ -220,3 +220,25 @@ def test_feedback(spark, tmp_path):
         feedback.record(df.withColumn("decision", F.lit("maybe")), str(tmp_path / "f"))
     got = {(r.grouping, r.matcher, r.n) for r in feedback.stats(spark.read.parquet(str(tmp_path / "f"))).collect()}
     assert got == {("total", None, 2), ("decision", None, 2), ("matcher", "rule", 2), ("tier", None, 2)}
+
+
+def test_walk_keeps_the_leaves_of_any_depth_and_shape(spark):
+    deep = "x"
+    for k in range(60):
+        deep = {"a": deep} if k % 2 else [deep]
+    texts = [json.dumps(deep), "[1, 2.50, true, null, \"é\"]", "7", "{}", "[]", "no json", None, json.dumps({"a": {"b": "y" * 50_000}})]
+    lines = spark.createDataFrame([(k, "R", t) for k, t in enumerate(texts)], "ord int, resource string, json string")
+    nodes = fhir.walk(fhir.parse_records(lines), ("ord", "resource")).collect()
+    leaves = {o: [r.value for r in sorted(nodes, key=lambda r: r.seq) if r.ord == o and r.kind == "leaf"] for o in range(8)}
+    assert leaves[0] == ["x"] and leaves[1] == ["1", "2.5", "true", None, "é"] and leaves[2] == ["7"] and leaves[7] == ["y" * 50_000]
+    assert [leaves[k] for k in (3, 4, 5, 6)] == [[], [], [], []]
+    assert max(r.seq.count("/") for r in nodes) == 60
+    assert fhir.walk(fhir.parse_records(lines.where("ord = 99")), ("ord",)).count() == 0
+
+
+def test_codings_and_references_within_others_are_passed_over(spark):
+    inner = {"system": "s2", "code": "c2", "reference": "Patient/2"}
+    rec = {"a": {"system": "s1", "code": "c1", "ext": [inner]}, "b": [inner, {"reference": "Group/1", "x": {"reference": "Patient/3"}}]}
+    nodes = fhir.walk(fhir.parse_records(spark.createDataFrame([(1, "R", json.dumps(rec))], "ord int, resource string, json string")), ("ord", "resource"))
+    assert sorted((r.system, r.path) for r in fhir.codings(nodes).collect()) == [("s1", "R.a"), ("s2", "R.b")]
+    assert sorted((r.field, r.target) for r in fhir.references(nodes).collect()) == [("b", "Group"), ("b", "Patient"), ("ext", "Patient")]
