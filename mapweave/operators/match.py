@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import tee
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from mapweave.functions import text as tx
 from mapweave.operators import profile as profiles
 from mapweave.operators.kb import KnowledgeBase
+from mapweave.util import spread
 
 #: Acceptance of a fuzzy match.
 FUZZY_GATE = 0.55
@@ -20,11 +24,15 @@ FUZZY_GATE = 0.55
 HEAD = 12
 #: Queries compared at a time with all rows.
 QUERY_BLOCK = 4096
+#: Names whose heads are broadcast (under 100 MB); more are joined by shuffle.
+MOST_HEADS = 1_000_000
 
 
 class Matcher(Protocol):
+    """Scores of names against paths, in 0..1. Pairs that aren't there score 0."""
+
     def score(self, sources: DataFrame, targets: DataFrame) -> DataFrame:
-        """(source, target, score)."""
+        """sources (source), targets (target) -> (source, target, score)."""
 
 
 def gate(scored: DataFrame, least: float = FUZZY_GATE) -> DataFrame:
@@ -40,6 +48,22 @@ def route(score: Column, high: float = 0.95, medium: float = 0.85) -> Column:
     return F.when(score >= high, "AUTO-ACCEPT").when(score >= medium, "HITL REVIEW").otherwise("REJECT")
 
 
+def rule_hits(kb: KnowledgeBase, asked: DataFrame, goal: DataFrame, tier: str | None = None) -> DataFrame:
+    """asked (term, distinct) x goal (target, distinct, ord) -> (term, target, t_ord, score) of pairs scoring above zero."""
+    m = kb.mappings()
+    known = m.where(F.col("tier") == tier) if tier else m
+    by_rule = asked.join(known, F.col("term") == F.col("source")).select("term", F.lower("destination").alias("path")).distinct()
+    content = asked.join(by_rule.select("term").distinct(), "term", "left_anti")
+    by_value = content.join(kb.values.select("id", "source_value"), F.lower("term") == F.lower("source_value")).join(kb.targets, F.col("id") == F.col("content_value_id"))
+    paths = by_rule.unionByName(by_value.select("term", F.lower("fhir_path").alias("path")).distinct())
+
+    goal = goal.select("target", F.col("ord").alias("t_ord"), F.lower("target").alias("_t"))
+    exact = paths.join(goal, F.col("path") == F.col("_t")).select("term", "target", "t_ord", F.lit(1.0).alias("score"))
+    bare = goal.where(~F.col("target").contains("."))
+    resource = paths.select("term", F.split_part("path", F.lit("."), F.lit(1)).alias("res")).distinct().join(bare, F.col("res") == F.col("_t"))
+    return exact.unionByName(resource.select("term", "target", "t_ord", F.lit(0.5).alias("score")))
+
+
 def rule_match(kb: KnowledgeBase, terms: DataFrame, targets: DataFrame, k: int = 5, tier: str | None = None) -> DataFrame:
     """terms (term) x targets (target, ord) -> (term, target, score, rank), the k best of each term.
 
@@ -51,18 +75,9 @@ def rule_match(kb: KnowledgeBase, terms: DataFrame, targets: DataFrame, k: int =
     fill the places below them.
     """
     asked = terms.select("term").distinct()
-    m = kb.mappings()
-    known = m.where(F.col("tier") == tier) if tier else m
-    by_rule = asked.join(known, F.col("term") == F.col("source")).select("term", F.lower("destination").alias("path")).distinct()
-    content = asked.join(by_rule.select("term").distinct(), "term", "left_anti")
-    by_value = content.join(kb.values.select("id", "source_value"), F.lower("term") == F.lower("source_value")).join(kb.targets, F.col("id") == F.col("content_value_id"))
-    paths = by_rule.unionByName(by_value.select("term", F.lower("fhir_path").alias("path")).distinct())
-
-    goal = targets.groupBy("target").agg(F.min("ord").alias("t_ord")).withColumn("_t", F.lower("target"))
-    exact = paths.join(goal, F.col("path") == F.col("_t")).select("term", "target", "t_ord", F.lit(1.0).alias("score"))
-    bare = goal.where(~F.col("target").contains("."))
-    resource = paths.select("term", F.split_part("path", F.lit("."), F.lit(1)).alias("res")).distinct().join(bare, F.col("res") == F.col("_t"))
-    hits = exact.unionByName(resource.select("term", "target", "t_ord", F.lit(0.5).alias("score")))
+    goal = targets.groupBy("target").agg(F.min("ord").alias("ord"))
+    hits = rule_hits(kb, asked, goal, tier)
+    goal = goal.withColumnRenamed("ord", "t_ord")
     filler = F.broadcast(goal.orderBy("t_ord").limit(k).select("target", "t_ord", F.lit(0.0).alias("score")))
     every = hits.unionByName(asked.crossJoin(filler))
     best = every.groupBy("term", "target", "t_ord").agg(F.max("score").alias("score"))
@@ -87,21 +102,16 @@ def fuzzy_lookup(queries: DataFrame, terms: DataFrame, least: float = FUZZY_GATE
     (or all, if fewer) of the contained name or stem stand in the other; or, for shared words, one of the
     words that sort first (of two word sets that overlap by least / 0.6, fewer than 12 words: the whole set).
     So pairs come from equi-joins of these keys instead of a cross join, with the same result. (Up to 0.5
-    the common-subsequence rule counts too, which has no such key: see fuzzy_lookup_block.)
+    the common-subsequence rule counts too, which has no such key: see fuzzy_search.)
     """
     if least <= 0.5:
-        raise ValueError("scores up to 0.5 need fuzzy_lookup_block")
+        raise ValueError("scores up to 0.5 need fuzzy_search")
     q = queries.select("query").where(F.length("query") > 0).distinct()
     s = terms.select("source").where(F.length("source") >= 3).distinct()
 
     def heads(c: Column) -> Column:
         return F.array_distinct(F.array(F.left(F.lower(c), F.lit(HEAD)), F.left(tx.stem(c), F.lit(HEAD))))
 
-    def parts(c: Column) -> Column:
-        low = F.lower(c)
-        starts = F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.lit(HEAD)))
-        return F.array_distinct(F.flatten(F.transform(starts, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda n: F.left(x, n)))))
-
     share = F.lit(least / 0.6)
 
     def words(c: Column) -> Column:
@@ -110,23 +120,133 @@ def fuzzy_lookup(queries: DataFrame, terms: DataFrame, least: float = FUZZY_GATE
         head = F.slice(t, F.lit(1), F.greatest(n - F.ceil(n * share).cast("int") + 1, F.lit(1)))
         return F.when(n > 11, head).when(n > 0, F.array(F.array_join(t, " "))) if least / 0.6 > 11 / 12 - 1e-9 else head
 
+    def contained(short: DataFrame, x: str, long: DataFrame, y: str) -> DataFrame:
+        """Pairs of which a head of x stands in y."""
+        keys = short.select(x, F.explode(heads(F.col(x))).alias("_k")).where(F.length("_k") > 0)
+        lengths = sorted(r.n for r in keys.select(F.length("_k").alias("n")).distinct().collect())  # HEAD at most
+        few = keys.limit(MOST_HEADS + 1).count() <= MOST_HEADS
+        low = F.lower(F.col(y))
+
+        def of_length(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+
+        parts = F.array_distinct(F.flatten(F.array(*map(of_length, lengths or [1]))))
+        # keys are many times the rows their size is guessed from, so that side is never to be broadcast
+        inside = long.withColumn("_k", F.explode(parts))
+        return inside.join(F.broadcast(keys), "_k").select("query", "source") if few else inside.hint("merge").join(keys, "_k").select("query", "source")
+
     def pairs(x: Column, y: Column) -> DataFrame:
-        # keys are many times the rows their size is guessed from, so neither side is to be broadcast
         return q.withColumn("_k", F.explode(x)).join(s.withColumn("_k", F.explode(y)).hint("merge"), "_k").select("query", "source")
 
     a, b = F.col("query"), F.col("source")
-    both = pairs(heads(a), parts(b)).unionByName(pairs(parts(a), heads(b))).unionByName(pairs(words(a), words(b))).distinct()
+    both = contained(q, "query", s, "source").unionByName(contained(s, "source", q, "query")).unionByName(pairs(words(a), words(b))).distinct()
     return both.withColumn("score", tx.fuzzy_score(a, b, ratio=False)).where(F.col("score") >= F.lit(least))
 
 
-def fuzzy_lookup_block(queries: list[str], terms: DataFrame, least: float = 0.3) -> DataFrame:
-    """All rules, for a stated list of at most QUERY_BLOCK queries against all terms."""
-    if len(queries) > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} queries at a time")
+def _subsequence(masks: dict[str, int], full: int, text: str) -> int:
+    """Length of the longest common subsequence with the text whose letters' places are in `masks`, by words of
+    bits: a zero bit of v is a place where it grows."""
+    v = full
+    for ch in text:
+        m = masks.get(ch)
+        if m is not None:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return full.bit_count() - v.bit_count()
+
+
+def _name_parts(name: str) -> tuple[str, str, frozenset[str]]:
+    low = name.lower()
+    cut = next((len(x) for x in tx.SUFFIXES if low.endswith(x) and len(low) > len(x) + 2), 0)
+    words = re.sub("([a-z])([A-Z])", r"\1_\2", name).lower().split("_")
+    return low, low[: len(low) - cut], frozenset(w for w in words if len(w) >= 3)
+
+
+def fuzzy_search(queries: DataFrame, terms: DataFrame, limit: int | None = 10, least: float = 0.3) -> DataFrame:
+    """queries (query) x terms (source) -> (query, source, score, rank): the `limit` best by fuzzy_score of at
+    least `least` (> 0), all rules included, ties by source; every one for limit None.
+
+    Queries are a stated set, compared in blocks of QUERY_BLOCK with all terms where they lie, each block a pass over them; a
+    partition keeps `limit` of each query, so what is shuffled doesn't grow with the terms. Before a common subsequence
+    is sought, the letters two names share must be enough for it. NULL and empty names match nothing; repeated
+    ones count once.
+    """
+    if least <= 0:
+        raise ValueError("a score of 0 or less is no likeness")
     spark = terms.sparkSession
-    q = F.broadcast(spark.createDataFrame([(x,) for x in dict.fromkeys(queries)], "query string"))
-    pairs = terms.select("source").distinct().crossJoin(q)
-    return pairs.withColumn("score", tx.fuzzy_score(F.col("query"), F.col("source"))).where(F.col("score") >= F.lit(least)).select("query", "source", "score")
+    asked = queries.select("query").where(F.length("query") > 0).distinct()
+    names = terms.select("source").where(F.length("source") >= 3).distinct()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    out = None
+    for k in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
+        shipped = spark.sparkContext.broadcast([r["query"] for r in part.collect()])
+
+        def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            best: dict[str, list[tuple[float, str]]] = {}
+            for batch in batches:
+                found = batch.column(0).to_pylist()
+                parts = [_name_parts(x) for x in found]
+                size = np.array([len(p[0]) for p in parts], np.int64)
+                letters = _letters([p[0] for p in parts])
+                for query in shipped.value:
+                    q, qs, qt = _name_parts(query)
+                    n = len(q)
+                    shared = np.minimum(letters, _letters([q])).sum(axis=1, dtype=np.int64)
+                    near = (200.0 * shared / (size + n) >= 69.0).tolist()
+                    masks: dict[str, int] = {}
+                    for i, ch in enumerate(q):
+                        masks[ch] = masks.get(ch, 0) | 1 << i
+                    mine = best.setdefault(query, [])
+                    for x, (s, ss, st), maybe in zip(found, parts, near):
+                        if s == q:
+                            score = 1.0
+                        elif q in s:
+                            score = n / len(s)
+                        elif s in q:
+                            score = len(s) / n * 0.8
+                        elif qs in ss:
+                            score = 0.7
+                        elif ss in qs:
+                            score = 0.65
+                        elif not qt.isdisjoint(st):
+                            score = 0.6 * len(qt & st) / max(len(qt), len(st))
+                        elif maybe:
+                            common = 200.0 * _subsequence(masks, (1 << n) - 1, s) / (n + len(s))
+                            score = int(common + 0.5) / 100.0
+                            score = score * 0.5 if score >= 0.7 else 0.0
+                        else:
+                            continue
+                        score = round(score, 9)  # so that equal shares are equal whatever rule gave them
+                        if score >= least:
+                            mine.append((-score, x))
+                    if limit is not None and len(mine) > 4 * limit:
+                        best[query] = sorted(mine, key=lambda h: (h[0], h[1].encode()))[:limit]
+            rows = [(query, x, -score) for query, hits in best.items() for score, x in (sorted(hits, key=lambda h: (h[0], h[1].encode()))[:limit] if limit is not None else hits)]
+            kinds = (pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(3)], ["query", "source", "score"])
+
+        hits = spread(names).mapInArrow(search, "query string, source string, score double")
+        out = hits if out is None else out.unionByName(hits)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "source")
+    ranked = out.withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= limit) if limit is not None else ranked
+
+
+def _letters(names: list[str]) -> np.ndarray:
+    """How often each of 64 classes of letters stands in each name: what two names share by classes is no less than
+    what they share by letters."""
+    out = np.zeros((len(names), 64), np.uint16)
+    for k, name in enumerate(names):
+        codes, n = np.unique(np.frombuffer(name.encode("utf-32-le"), np.uint32) & 63, return_counts=True)
+        out[k, codes] = np.minimum(n, 65_535)
+    return out
+
+
+def fuzzy_lookup_block(queries: list[str], terms: DataFrame, least: float = 0.3) -> DataFrame:
+    """(query, source, score) of all pairs for a list of queries, by all rules."""
+    q = terms.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(queries)], "query string")
+    return fuzzy_search(q, terms, None, least).drop("rank")
 
 
 def fuzzy_destinations(hits: DataFrame, kb: KnowledgeBase) -> DataFrame:
@@ -271,3 +391,82 @@ def match_tables(left: DataFrame, right: DataFrame, dims: int = 64, one_to_one:
             used[0].add(x)
             used[1].add(y)
     return spark.createDataFrame(out, "source string, target string, score double")
+
+
+def _asked(sources: DataFrame) -> DataFrame:
+    return sources.select(F.col("source").alias("term")).where(F.col("term").isNotNull()).distinct()
+
+
+@dataclass(frozen=True)
+class RuleMatcher:
+    """1 for a known destination of the name, 0.5 for its resource."""
+
+    kb: KnowledgeBase
+    tier: str | None = None
+
+    def score(self, sources: DataFrame, targets: DataFrame) -> DataFrame:
+        goals = targets.select("target").distinct().withColumn("ord", F.xxhash64("target"))
+        found = rule_hits(self.kb, _asked(sources), goals, self.tier)
+        return found.groupBy(F.col("term").alias("source"), "target").agg(F.max("score").alias("score"))
+
+
+@dataclass(frozen=True)
+class FuzzyMatcher:
+    """The best fuzzy score among the known names that lead to the target."""
+
+    kb: KnowledgeBase
+    least: float = FUZZY_GATE
+
+    def score(self, sources: DataFrame, targets: DataFrame) -> DataFrame:
+        asked = _asked(sources).withColumnRenamed("term", "query")
+        found = fuzzy_destinations(fuzzy_lookup(asked, self.kb.sources.select("source"), self.least), self.kb)
+        found = found.join(targets.select("target").distinct(), "target", "left_semi")
+        return found.groupBy(F.col("query").alias("source"), "target").agg(F.max("score").alias("score"))
+
+
+@dataclass(frozen=True)
+class ExpertMatcher:
+    """1 for a path the base has for the name, and a fallback matcher for names it doesn't know."""
+
+    kb: KnowledgeBase
+    fallback: Matcher | None = None
+
+    def score(self, sources: DataFrame, targets: DataFrame) -> DataFrame:
+        found = expert_match(self.kb, _asked(sources), targets)
+        known = found.where("target IS NOT NULL").select(F.col("term").alias("source"), "target", "score")
+        if self.fallback is None:
+            return known
+        return known.unionByName(self.fallback.score(found.where("target IS NULL").select(F.col("term").alias("source")), targets))
+
+
+@dataclass(frozen=True)
+class VectorMatcher:
+    """Cosine of the vectors of names and paths, negative ones as 0: hashed n-grams, or what `model` makes of batches of texts (it is
+    called once a partition and maps an iterator of lists of texts to an iterator of lists of vectors)."""
+
+    model: Callable[[Iterator[list[str]]], Iterator[list[list[float]]]] | None = None
+    dims: int = 64
+    targets_at_most: int = QUERY_BLOCK
+
+    def vectors(self, texts: DataFrame, column: str) -> DataFrame:
+        """texts (column) -> (column, v)."""
+        if self.model is None:
+            return texts.select(column, hash_embedding(F.col(column), self.dims).alias("v"))
+        model = self.model
+
+        def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, second = tee(batches)
+            for batch, vectors in zip(first, model(b.column(0).to_pylist() for b in second)):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], [column, "v"])
+
+        return texts.select(column).mapInArrow(embed, f"`{column}` string, v array<double>")
+
+    def score(self, sources: DataFrame, targets: DataFrame) -> DataFrame:
+        """Targets are a stated list, of targets_at_most entries; more are an error."""
+        goals = targets.select("target").where(F.col("target").isNotNull()).distinct()
+        if goals.limit(self.targets_at_most + 1).count() > self.targets_at_most:
+            raise ValueError(f"more than {self.targets_at_most} targets")
+        a = self.vectors(_asked(sources).withColumnRenamed("term", "source"), "source")
+        b = self.vectors(goals, "target").withColumnRenamed("v", "w")
+        pairs = a.crossJoin(F.broadcast(b)).withColumn("score", F.greatest(F.least(cosine(F.col("v"), F.col("w")), F.lit(1.0)), F.lit(0.0)))
+        return pairs.where(F.col("score").isNotNull()).select("source", "target", "score")

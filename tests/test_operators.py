@@ -71,6 +71,48 @@ def test_fuzzy_lookup_equals_all_pairs(spark):
     assert [(r.source, r.score > 0.4) for r in low] == [("gender", True)]
 
 
+def test_fuzzy_lookup_by_shuffle_and_search_by_all_rules(spark, monkeypatch):
+    rng = random.Random(5)
+    parts = ["tumor", "grade", "grading", "Stage", "stages", "os", "time", "a", "sampleType", "identifier", "identifer", "gendr", "gender", "ing", "é"]
+    names = sorted({"_".join(rng.sample(parts, rng.randrange(1, 4))) for _ in range(150)} | {"x", "", "TumorGrade", "ab", "n" * 300})
+    q, s = terms(spark, *names[:60], None, name="query"), terms(spark, *names, None, "ab", name="source")
+    every = q.crossJoin(s.distinct()).where("query <> ''").withColumn("score", tx.fuzzy_score(F.col("query"), F.col("source"))).cache()
+    want = {(r.query, r.source): round(r.score, 9) for r in every.where("score >= 0.3").collect()}
+    got = {(r.query, r.source): round(r.score, 9) for r in match.fuzzy_search(q, s, None).collect()}
+    assert got == want and any(x in (0.35, 0.36, 0.38, 0.4, 0.42, 0.43) for x in got.values())
+    three = match.fuzzy_search(q, s, 3).collect()
+    best = {}
+    for (a, b), x in want.items():
+        best.setdefault(a, []).append((-x, b.encode(), b))
+    assert {(r.query, r.source, r["rank"]) for r in three} == {(a, b, k) for a, v in best.items() for k, (_, _, b) in enumerate(sorted(v)[:3], 1)}
+    monkeypatch.setattr(match, "MOST_HEADS", 5)
+    monkeypatch.setattr(match, "QUERY_BLOCK", 20)
+    assert {(r.query, r.source) for r in match.fuzzy_lookup(q, s).collect()} == {(r.query, r.source) for r in every.where("score >= 0.55").collect()}
+    assert {(r.query, r.source, r["rank"]) for r in match.fuzzy_search(q, s, 3).collect()} == {(r.query, r.source, r["rank"]) for r in three}
+    assert match.fuzzy_search(q.limit(0), s).count() == match.fuzzy_search(q, s.limit(0)).count() == 0
+
+
+def test_matchers_hold_one_contract(spark, kb):
+    names = terms(spark, "sex", "sex", "stages", "lung", "nothing", None, name="source")
+    goals = terms(spark, "Patient.gender", "Patient", "Condition.stage", "Specimen.type", name="target")
+
+    def model(batches):
+        for texts in batches:
+            yield [[float(len(t)), 1.0] for t in texts]
+
+    every = {}
+    for m in (match.RuleMatcher(kb), match.FuzzyMatcher(kb), match.ExpertMatcher(kb, match.VectorMatcher()), match.VectorMatcher(), match.VectorMatcher(model)):
+        rows = m.score(names, goals).collect()
+        assert all(0 <= r.score <= 1 for r in rows) and len(rows) == len({(r.source, r.target) for r in rows})
+        assert m.score(names.limit(0), goals).count() == m.score(names, goals.limit(0)).count() == 0
+        every[type(m).__name__] = {(r.source, r.target): r.score for r in rows}
+    assert every["RuleMatcher"]["sex", "Patient.gender"] == 1.0 and every["RuleMatcher"]["sex", "Patient"] == 0.5
+    assert every["FuzzyMatcher"]["stages", "Condition.stage"] == 5 / 6 * 0.8 and every["ExpertMatcher"]["lung", "Specimen.type"] == 1.0
+    assert ("nothing", "Patient") in every["ExpertMatcher"] and len(every["VectorMatcher"]) == 16
+    with pytest.raises(ValueError):
+        match.VectorMatcher(targets_at_most=3).score(names, goals)
+
+
 def test_fuzzy_lookup_finds_camel_case_twins(spark):
     names = ("serialDischargeTimepoint", "serial_discharge_timepoint", "MeasuredDosageDepth", "measured_dosage_depth", "depthMeasured_dosage", "measureddosagedepth")
     q, s = terms(spark, *names, name="query"), terms(spark, *names, name="source")
