@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +33,31 @@ def fuzzy_stage(kb: KnowledgeBase, columns: DataFrame, variants: bool = False, c
 
 def vector_stage(kb: KnowledgeBase, columns: DataFrame, least: float = 0.5, top: int = 400, keyed: DataFrame | None = None, matcher: str = "biobert") -> DataFrame:
     """The most similar of the `top` commonest destinations by hashed name vectors, from `least` on. The
-    destinations are a list of that fixed length. With keyed predictions (calibrate.explode_keys) the
+    destinations are a list of that fixed length, held by every task. Likenesses count to nine places; equal
+    ones go to the first path. With keyed predictions (calibrate.explode_keys) the
     confidence is the accuracy of the matcher's field scores of that likeness, and `least` applies to it."""
-    common = kb.destinations.where(F.col("destination").contains(".")).groupBy("destination").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "destination").limit(top)
-    goal = F.broadcast(common.select(F.col("destination").alias("target"), match.hash_embedding(F.col("destination")).alias("_b")))
-    asked = columns.select("name", match.hash_embedding(F.col("name")).alias("_a"))
-    # cosines come in floating point: a little over 1 lies in no bin
-    pairs = asked.crossJoin(goal).withColumn("raw", F.least(match.cosine(F.col("_a"), F.col("_b")), F.lit(1.0))).where(F.col("raw").isNotNull())
-    best = pairs.groupBy("name").agg(F.min_by(F.struct("target", "raw"), F.struct(-F.round("raw", 9), F.col("target"))).alias("b")).select("name", "b.target", "b.raw")
+    goal = common_destinations(kb, top).select("destination", match.hash_embedding(F.col("destination")).alias("v")).orderBy("destination").collect()
+    targets = [r.destination for r in goal]
+    width = len(goal[0].v) if goal else 1
+    units = np.array([r.v for r in goal], np.float64).reshape(len(goal), width)
+    size = np.sqrt((units * units).sum(axis=1))
+    asked = columns.select("name", match.hash_embedding(F.col("name")).alias("v"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), width)
+            own = np.sqrt((v * v).sum(axis=1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                # cosines come in floating point: a little over 1 lies in no bin
+                raw = np.minimum(np.round((v @ units.T) / (own[:, None] * size[None, :]), 9), 1.0)
+            raw = np.where(np.isnan(raw), -np.inf, raw)
+            best = raw.argmax(axis=1) if len(targets) and len(names) else np.zeros(0, int)
+            rows = [(n, targets[k], float(raw[i, k])) for i, (n, k) in enumerate(zip(names, best)) if raw[i, k] > -np.inf]
+            kinds = (pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(3)], ["name", "target", "raw"])
+
+    best = asked.mapInArrow(nearest, "name string, target string, raw double")
     if keyed is None:
         return best.select("name", "target", F.round("raw", 3).alias("confidence"), F.lit("vector").alias("stage")).where(F.col("confidence") >= least)
     best = cut(best, "vectors")
@@ -45,6 +66,12 @@ def vector_stage(kb: KnowledgeBase, columns: DataFrame, least: float = 0.5, top:
     return best.join(known, "name").select("name", "target", F.round("calibrated", 3).alias("confidence"), F.lit("vector").alias("stage"))
 
 
+def common_destinations(kb: KnowledgeBase, top: int = 400) -> DataFrame:
+    """(destination, n): the commonest paths, ties by the path."""
+    counted = kb.destinations.where(F.col("destination").contains(".")).groupBy("destination").agg(F.count(F.lit(1)).alias("n"))
+    return counted.orderBy(F.desc("n"), "destination").limit(top)
+
+
 def map_columns(kb: KnowledgeBase, columns: DataFrame, vectors: bool = False, keyed: DataFrame | None = None) -> DataFrame:
     """columns (name) -> (name, target, confidence, stage), each name once: exact, fuzzy, optionally by vectors
     (calibrated by keyed predictions where given), else unmapped with NULL target. What a stage left open is written before the next reads it, so each stage

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from mapweave.functions.text import DOMAINS
 from mapweave.operators import normalize
-from mapweave.plans.queries import EQUIVALENT, FIXES, WEIGHTS
+from mapweave.plans.queries import CLINICAL, EQUIVALENT, FIXES, WEIGHTS
 
 _ORPHANS = """
 SELECT 'destinations' AS table_name, ord, loaded_at FROM destinations
@@ -104,14 +104,31 @@ def _tokens(c: str) -> str:
     return f"list_distinct(list_filter(string_split(lower(regexp_replace({c}, '([a-z])([A-Z])', '\\1_\\2', 'g')), '_'), lambda t: length(t) >= 3))"
 
 
-_FUZZY = _kb(
-    """SELECT query, source, round(score, 6) AS score FROM (
-  SELECT query, source, CASE WHEN length(q) = 0 OR length(s_) < 3 THEN 0.0 WHEN q = s_ THEN 1.0 WHEN contains(s_, q) THEN length(q) / length(s_) WHEN contains(q, s_) THEN length(s_) / length(q) * 0.8
+def _sides(query: str, asked: str, source: str, names: str, q: str = "a", s: str = "b") -> tuple[str, str]:
+    """Names put side by side, each split into words as it is written."""
+    return (
+        f"{q} AS (SELECT {query} AS query, lower({query}) AS q, {_stem(query)} AS qs, {_tokens(query)} AS qt FROM {asked} WHERE length({query}) > 0)",
+        f"{s} AS (SELECT {source} AS source, lower({source}) AS s_, {_stem(source)} AS ss, {_tokens(source)} AS st FROM (SELECT DISTINCT {source} FROM {names} WHERE length({source}) >= 3) AS x)",
+    )
+
+
+_SCORE = """CASE WHEN q = s_ THEN 1.0 WHEN contains(s_, q) THEN length(q) / length(s_) WHEN contains(q, s_) THEN length(s_) / length(q) * 0.8
     WHEN contains(ss, qs) THEN 0.7 WHEN contains(qs, ss) THEN 0.65
-    WHEN len(list_intersect(qt, st)) > 0 THEN 0.6 * len(list_intersect(qt, st)) / greatest(len(qt), len(st)) ELSE 0.0 END AS score
-  FROM a, b) AS x WHERE score >= 0.55""",
-    f"a AS (SELECT term AS query, lower(term) AS q, {_stem('term')} AS qs, {_tokens('lower(term)')} AS qt FROM terms WHERE length(term) > 0)",
-    f"b AS (SELECT source, lower(source) AS s_, {_stem('source')} AS ss, {_tokens('lower(source)')} AS st FROM (SELECT DISTINCT source FROM sources WHERE length(source) >= 3) AS x)",
+    WHEN len(list_intersect(qt, st)) > 0 THEN 0.6 * len(list_intersect(qt, st)) / greatest(len(qt), len(st)) ELSE 0.0 END"""
+_FUZZY = _kb(f"SELECT query, source, round(score, 6) AS score FROM (SELECT query, source, {_SCORE} AS score FROM a, b) AS x WHERE score >= 0.55", *_sides("term", "terms", "source", "sources"))
+
+# The longest common subsequence by bits (names up to 120 letters): a zero bit of v is a place where it grows.
+_MASKS = "list_transform(string_split(s_, ''), lambda ch: list_sum(list_transform(range(length(q)), lambda i: CASE WHEN q[i + 1] = ch THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE CAST(0 AS HUGEINT) END)))"
+_FULL = "((CAST(1 AS HUGEINT) << CAST(length(q) AS INT)) - 1)"
+_COMMON = f"length(q) - bit_count(list_reduce({_MASKS}, lambda v, m: ((v + (v & m)) | (v - (v & m))) & {_FULL}, {_FULL}))"
+_SEARCH = _kb(
+    """SELECT query, source, target, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, source, target) AS rank FROM (
+      SELECT DISTINCT h.query, h.source, m.destination AS target, h.score FROM hits h JOIN m ON m.source = h.source) AS x) AS y WHERE rank <= 10""",
+    "asked AS (SELECT DISTINCT source AS term FROM names WHERE id % 100 = 0)",
+    *_sides("term", "asked", "source", "m"),
+    f"pairs AS (SELECT *, {_SCORE} AS score FROM a, b)",
+    f"""ratios AS (SELECT query, source, round(200.0 * ({_COMMON}) / (length(q) + length(s_))) / 100 AS r FROM pairs WHERE score = 0 AND 2.0 * least(length(q), length(s_)) / (length(q) + length(s_)) >= 0.69)""",
+    "hits AS (SELECT query, source, round(score, 9) AS score FROM pairs WHERE round(score, 9) >= 0.3 UNION ALL SELECT query, source, round(r * 0.5, 9) FROM ratios WHERE r >= 0.7)",
 )
 
 # calibration
@@ -177,22 +194,46 @@ _CODED = "coded AS (SELECT coalesce(code_system, '') AS system, coalesce(code, '
 _EXACT = ("exact AS (SELECT term AS name, arg_min(destination, dest_ord) AS target, CAST(1.0 AS DOUBLE) AS confidence, 'exact' AS stage FROM (" + _FOUND_DEST + ") AS x GROUP BY term)",)
 
 
-def _fuzzy_stage(opened: str) -> tuple[str, ...]:
-    return (
-        f"fa AS (SELECT term AS query, lower(term) AS q, {_stem('term')} AS qs, {_tokens('lower(term)')} AS qt FROM terms WHERE length(term) > 0 AND term NOT IN (SELECT name FROM {opened}))",
-        f"fbk AS (SELECT source, lower(source) AS s_, {_stem('source')} AS ss, {_tokens('lower(source)')} AS st FROM (SELECT DISTINCT source FROM s WHERE length(source) >= 3) AS x)",
-        """fz AS (SELECT query, source, CASE WHEN q = s_ THEN 1.0 WHEN contains(s_, q) THEN length(q) / length(s_) WHEN contains(q, s_) THEN length(s_) / length(q) * 0.8
-            WHEN contains(ss, qs) THEN 0.7 WHEN contains(qs, ss) THEN 0.65
-            WHEN len(list_intersect(qt, st)) > 0 THEN 0.6 * len(list_intersect(qt, st)) / greatest(len(qt), len(st)) ELSE 0.0 END AS score FROM fa, fbk)""",
-        """second AS (SELECT query AS name, target, round(least(score, 1.0), 3) AS confidence, 'fuzzy' AS stage FROM (
-            SELECT query, target, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, source, target) AS rn FROM (
-              SELECT DISTINCT fz.query, fz.source, m.destination AS target, fz.score FROM fz JOIN m ON m.source = fz.source WHERE fz.score >= 0.55 AND contains(m.destination, '.')) AS x) AS y WHERE rn = 1)""",
-        f"""mapped AS (SELECT * FROM {opened} UNION ALL SELECT * FROM second UNION ALL
-            SELECT term, NULL, 0.0, 'unmapped' FROM terms WHERE term NOT IN (SELECT name FROM {opened}) AND term NOT IN (SELECT name FROM second))""",
-    )
-
-
-_MAPPED = (*_EXACT, *_fuzzy_stage("exact"))
+def _fuzzy_best(hits: str, name: str, cap: float) -> str:
+    return f"""SELECT {name} AS name, target, round(least(score, {cap}), 3) AS confidence, 'fuzzy' AS stage FROM (
+            SELECT *, row_number() OVER (PARTITION BY {name} ORDER BY score DESC, source, target) AS rn FROM (
+              SELECT DISTINCT {name}, h.source, m.destination AS target, h.score FROM {hits} h JOIN m ON m.source = h.source WHERE h.score >= 0.55 AND contains(m.destination, '.')) AS x) AS y WHERE rn = 1"""
+
+
+def _vector(c: str) -> str:
+    """Hashed letter triples of a name, in 64 places."""
+    p = f"('#' || lower({c}) || '#')"
+    places = f"list_transform(range(1, greatest(length({p}) - 2, 1) + 1), lambda i: CAST(('0x' || left(md5(substr({p}, i, 3)), 8)) AS BIGINT) % 64)"
+    return f"list_transform(range(64), lambda d: CAST(len(list_filter({places}, lambda x: x = d)) AS DOUBLE))"
+
+
+_MAPPED = (
+    *_EXACT,
+    "open1 AS (SELECT term FROM terms WHERE term NOT IN (SELECT name FROM exact))",
+    *_sides("term", "open1", "source", "s", "fa", "fbk"),
+    f"fz AS (SELECT query, source, {_SCORE} AS score FROM fa, fbk)",
+    f"second AS ({_fuzzy_best('fz', 'query', 1.0)})",
+    "open2 AS (SELECT term FROM open1 WHERE term NOT IN (SELECT name FROM second))",
+    f"goal AS (SELECT destination, {_vector('destination')} AS w FROM (SELECT destination, count(*) AS n FROM d WHERE contains(destination, '.') GROUP BY 1 ORDER BY n DESC, destination LIMIT 400) AS x)",
+    f"vec AS (SELECT term, {_vector('term')} AS v FROM open2)",
+    """near AS (SELECT term, destination, raw FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY raw DESC, destination) AS rn FROM (
+        SELECT term, destination, least(round(list_cosine_similarity(v, w), 9), 1.0) AS raw FROM vec, goal) AS x WHERE raw IS NOT NULL AND NOT isnan(raw)) AS y WHERE rn = 1)""",
+    """used AS (SELECT coalesce(arg_min(key, level) FILTER (eligible), arg_max(key, level)) AS key FROM (VALUES (0, 'biobert:field:*:*'), (1, 'biobert:*:*:*'), (2, 'biobert:field'), (3, 'biobert')) AS k(level, key) JOIN stats USING (key))""",
+    """third AS (SELECT * FROM (SELECT term AS name, destination AS target, coalesce((SELECT accuracy FROM curve JOIN used USING (key) WHERE bin = least(CAST(trunc(raw * 10) AS INT), 9)), raw) AS confidence FROM near) AS x WHERE confidence >= 0.5)""",
+    """mapped AS (SELECT * FROM exact UNION ALL SELECT * FROM second UNION ALL SELECT name, target, round(confidence, 3), 'vector' FROM third UNION ALL
+        SELECT term, NULL, 0.0, 'unmapped' FROM open2 WHERE term NOT IN (SELECT name FROM third))""",
+)
+_CONSTRAINED = (
+    "c AS (SELECT source AS name, coalesce(list_sort(list_distinct(list(proposed_target) FILTER (proposed_target IS NOT NULL))), []) AS candidates FROM names GROUP BY 1)",
+    """exact AS (SELECT c.name, arg_min(destination, dest_ord) AS target, CAST(1.0 AS DOUBLE) AS confidence, 'exact' AS stage FROM c JOIN m ON c.name = m.source
+        WHERE len(candidates) = 0 OR list_contains(candidates, destination) GROUP BY c.name)""",
+    """forms AS (SELECT name, unnest(list_distinct(list_filter([name, CASE WHEN ends_with(name, 'ing') THEN left(name, length(name) - 3) || 'e' END, CASE WHEN ends_with(name, 'ing') THEN left(name, length(name) - 3) END,
+        CASE WHEN ends_with(name, 's') THEN left(name, length(name) - 1) END], lambda x: x IS NOT NULL))) AS form FROM c WHERE name NOT IN (SELECT name FROM exact))""",
+    *_sides("form", "(SELECT DISTINCT form FROM forms)", "source", "s", "fa", "fbk"),
+    f"fz AS (SELECT name, source, {_SCORE} AS score FROM fa JOIN forms ON form = query, fbk)",
+    f"tried AS ({_fuzzy_best('fz', 'name', 0.9)})",
+    "second AS (SELECT t.* FROM tried t JOIN c USING (name) WHERE len(candidates) = 0 OR list_contains(candidates, target))",
+)
 _VERDICT = """
 gold AS (SELECT source AS name, list_sort(list_distinct(list(CASE decision WHEN 'correct' THEN ground_truth WHEN 'accept' THEN proposed_target END) FILTER (
     CASE decision WHEN 'correct' THEN ground_truth WHEN 'accept' THEN proposed_target END IS NOT NULL))) AS accept, min(tier) AS stratum FROM fb WHERE source IS NOT NULL GROUP BY 1),
@@ -279,6 +320,7 @@ def oracle_sql() -> dict[str, str]:
         "resolve_priority": _kb("SELECT term, destination, 'priority' AS method FROM by_prio", *_CONFLICTS, *_BEST),
         "resolve_frequency": _kb("SELECT term, destination, 'frequency' AS method FROM by_freq", *_CONFLICTS, *_BEST),
         "resolve_equivalent": _kb("SELECT term, destination, 'equivalence' AS method FROM equal", *_CONFLICTS, *_BEST),
+        "resolve_clinical": _kb(f"SELECT term, '{CLINICAL[0]}' AS destination, 'equivalence' AS method FROM mine GROUP BY term HAVING bool_and(destination IN ({_in(CLINICAL)}))", *_CONFLICTS),
         "canonical_rows": _kb("SELECT 'canonical:' || term AS id, term AS source, 'canonical' AS source_schema, destination FROM auto", *_CONFLICTS, *_BEST),
         "normalization_report": _kb(
             """SELECT terms, conflicts, resolved, coalesce(round(conflicts / nullif(terms, 0), 6), 0.0) AS conflict_rate, coalesce(round(resolved / nullif(conflicts, 0), 6), 1.0) AS resolution_rate FROM (
@@ -309,7 +351,8 @@ def oracle_sql() -> dict[str, str]:
             """SELECT x.term, g.target, CAST(1.0 AS DOUBLE) AS score, x.dest_system, x.dest_code, x.subject_ref, x.focus_ref FROM (
             SELECT terms.term, m.*, row_number() OVER (PARTITION BY terms.term, lower(destination) ORDER BY dest_ord) AS rn FROM terms JOIN m ON terms.term = m.source) AS x JOIN goals g ON lower(x.destination) = lower(g.target) WHERE rn = 1"""
         ),
-        "fuzzy_lookup": _FUZZY,
+        "fuzzy_pairs": _FUZZY,
+        "fuzzy_lookup": _SEARCH,
         "expert_match": _kb(
             """SELECT DISTINCT a.term, g.target, CASE WHEN g.target IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS score FROM terms a LEFT JOIN (
             SELECT lower(source) AS t, destination AS path FROM m UNION SELECT lower(source_value), fhir_path FROM v JOIN p ON v.id = p.content_value_id) AS e ON lower(a.term) = e.t
@@ -391,16 +434,20 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_feedback_stats": "SELECT matcher, tier, lower(trim(decision)) AS decision, count(*) AS n FROM feedback WHERE lower(trim(decision)) IN ('accept', 'reject', 'correct') GROUP BY ALL",
         "stream_windows": "SELECT time_bucket(INTERVAL 7 DAY, decided_at, TIMESTAMP '1970-01-01') AS start, lower(trim(decision)) AS decision, count(*) AS n FROM feedback WHERE decided_at IS NOT NULL GROUP BY ALL",
-        "cascade_map": _kb("SELECT * FROM mapped", *_MAPPED),
+        "cascade_map": _kb("SELECT * FROM mapped", _PRED, _curve(_BIN), *_MAPPED),
+        "cascade_constrained": _kb(
+            """SELECT * FROM exact UNION ALL SELECT * FROM second UNION ALL SELECT name, NULL, 0.0, 'needs_review' FROM c WHERE name NOT IN (SELECT name FROM exact) AND name NOT IN (SELECT name FROM second)""",
+            *_CONSTRAINED,
+        ),
         "cascade_coverage": _kb(
             """SELECT stage, count(*) AS n, round(count(*) / (SELECT count(*) FROM mapped), 6) AS share FROM mapped GROUP BY stage
             UNION ALL SELECT 'mapped', count(target), round(count(target) / count(*), 6) FROM mapped""",
-            *_MAPPED,
+            _PRED, _curve(_BIN), *_MAPPED,
         ),
-        "eval_verdicts": _kb("SELECT * FROM judged", *_MAPPED, _VERDICT),
+        "eval_verdicts": _kb("SELECT * FROM judged", _PRED, _curve(_BIN), *_MAPPED, _VERDICT),
         "eval_report": _kb(
             """SELECT coalesce(stratum, 'ALL') AS stratum, count(*) AS n, count(*) FILTER (verdict = 'EXACT') AS exact, count(*) FILTER (verdict = 'FAMILY') AS family, count(*) FILTER (verdict = 'WRONG') AS wrong,
             count(*) FILTER (verdict = 'UNMAPPED') AS unmapped, round(count(*) FILTER (verdict IN ('EXACT', 'FAMILY')) / count(*), 6) AS usable FROM judged GROUP BY ROLLUP (stratum)""",
-            *_MAPPED, _VERDICT,
+            _PRED, _curve(_BIN), *_MAPPED, _VERDICT,
         ),
     }

@@ -13,6 +13,12 @@ from mapweave.util import read_table
 
 WEIGHTS = {"biobert": 0.4, "magneto": 0.6}
 EQUIVALENT = [("Condition.code", "Condition.bodySite"), ("Patient.gender", "Patient.extension.race")]
+#: Paths of what was found or done, for a review that takes them as one.
+CLINICAL = (
+    "Condition.bodySite", "Condition.clinicalStatus", "Condition.code", "Condition.onsetAge", "Condition.onsetDateTime", "Condition.recordedDate", "Condition.severity",
+    "Condition.stage.summary", "Observation.bodySite", "Observation.code", "Observation.component.valueInteger", "Observation.effectiveDateTime", "Observation.interpretation",
+    "Observation.method", "Observation.valueCodeableConcept", "Observation.valueQuantity", "Procedure.bodySite", "Procedure.code", "Procedure.occurrenceDateTime", "Procedure.outcome",
+)
 FIXES = [("Observation.valueQuantity", "Observation.component.valueQuantity", "update"), ("Procedure.code", "", "update"), ("Specimen.parent", "", "delete")]
 
 
@@ -157,6 +163,10 @@ def resolve_equivalent(spark, d):
     return normalize.equivalent(_kb(spark, d).mappings(), EQUIVALENT)
 
 
+def resolve_clinical(spark, d):
+    return normalize.equivalent(_kb(spark, d).mappings(), [CLINICAL])
+
+
 def canonical_rows(spark, d):
     m = _kb(spark, d).mappings()
     return normalize.canonical_rows(normalize.auto_resolve(m, EQUIVALENT))
@@ -212,11 +222,22 @@ def rule_match_metadata(spark, d):
     return match.rule_match_metadata(_kb(spark, d), _names(spark, d).select(F.col("source").alias("term")), _targets(spark, d))
 
 
-def fuzzy_lookup(spark, d):
+def fuzzy_pairs(spark, d):
+    """All names against all, from the acceptance of a fuzzy match on."""
     found = match.fuzzy_lookup(_names(spark, d).select(F.col("source").alias("query")), read_table(spark, d, "sources").where("source IS NOT NULL").select("source"))
     return found.select("query", "source", F.round("score", 6).alias("score"))
 
 
+def fuzzy_lookup(spark, d):
+    """The ten best known names and their destinations for each name of a row whose id is divisible by 100, by all
+    rules from 0.3 on."""
+    kb = _kb(spark, d)
+    asked = _names(spark, d).where("id % 100 = 0").select(F.col("source").alias("query"))
+    hits = match.fuzzy_search(asked, kb.mappings().select("source"), 10)
+    found = row_rank(match.fuzzy_destinations(hits, kb), ["query"], [F.desc("score"), F.col("source"), F.col("target")])
+    return found.where("rank <= 10").select("query", "source", "target", F.round("score", 6).alias("score"), "rank")
+
+
 def expert_match(spark, d):
     return match.expert_match(_kb(spark, d), _names(spark, d).select(F.col("source").alias("term")), _targets(spark, d))
 
@@ -462,18 +483,14 @@ def stream_windows(spark, d):
 
 # cascades
 def _mapped(spark, d):
-    return cascade.map_columns(_kb(spark, d), _names(spark, d).select(F.col("source").alias("name")))
+    """All stages: exact, fuzzy, calibrated vectors, unmapped."""
+    return cascade.map_columns(_kb(spark, d), _names(spark, d).select(F.col("source").alias("name")), vectors=True, keyed=_keyed(spark, d))
 
 
 def cascade_map(spark, d):
     return _mapped(spark, d)
 
 
-def cascade_map_vectors(spark, d):
-    """All stages: exact, fuzzy, calibrated vectors."""
-    return cascade.map_columns(_kb(spark, d), _names(spark, d).select(F.col("source").alias("name")), vectors=True, keyed=_keyed(spark, d))
-
-
 def cascade_constrained(spark, d):
     c = _names(spark, d).groupBy(F.col("source").alias("name")).agg(F.array_sort(F.collect_set("proposed_target")).alias("candidates"))
     return cascade.map_columns_constrained(_kb(spark, d), c)
@@ -499,7 +516,7 @@ def eval_report(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Map the reviewed columns: exact, then fuzzy, else unmapped."""
+    """Map the reviewed columns: exact, then fuzzy, then by calibrated vectors, else unmapped."""
     return cascade_map(spark, d)
 
 
@@ -507,14 +524,14 @@ _ALL = (
     p5_found, p5_periods,
     kb_lookup, kb_lookup_context, kb_reverse_lookup, kb_filter_tier, kb_filter_schema, kb_tier_candidates, kb_stats, kb_training_pairs, kb_expertise, content_lookup,
     content_by_path, kb_merge, kb_merge_counted, kb_without_destination, kb_multi_destination, kb_counts, kb_top_destinations, kb_repair_counts, kb_path_fixes, kb_delete_like,
-    conflicts_destination, conflicts_schema, multi_destinations, resolve_priority, resolve_frequency, resolve_equivalent, canonical_rows, normalization_report, hitl_export,
+    conflicts_destination, conflicts_schema, multi_destinations, resolve_priority, resolve_frequency, resolve_equivalent, resolve_clinical, canonical_rows, normalization_report, hitl_export,
     ground_truth_metrics, valid_paths, passthrough_fix, focus_refs, path_validation,
-    rule_match_topk, rule_match_metadata, fuzzy_lookup, expert_match, ensemble_scores, confidence_levels, dedupe_matches, tier_run, nearest_vectors, match_tables, rank_metrics, top1_outcomes,
+    rule_match_topk, rule_match_metadata, fuzzy_pairs, fuzzy_lookup, expert_match, ensemble_scores, confidence_levels, dedupe_matches, tier_run, nearest_vectors, match_tables, rank_metrics, top1_outcomes,
     calib_keys, calib_curve, calib_curve_compat, calib_ece, calib_scores,
     profile_columns, profile_samples, content_types, content_types_compat, target_candidates, table_profiles, column_relations, profile_summary, schema_summary,
     json_field_usage, json_coding_usage, json_coding_systems, json_reference_usage, json_pair_usage, ground_truth_rows, url_terms, name_parts, name_variants, characteristics, minted_ids, category_paths,
     feedback_stats, feedback_recent, feedback_new_mappings, consensus_vote, stream_feedback_stats, stream_windows,
-    cascade_map, cascade_map_vectors, cascade_constrained, cascade_coverage, eval_verdicts, eval_report,
+    cascade_map, cascade_constrained, cascade_coverage, eval_verdicts, eval_report,
 )
 
 
