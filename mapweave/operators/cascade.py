@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mapweave.functions import text as tx
 from mapweave.operators import calibrate, match
 from mapweave.operators.kb import KnowledgeBase, first_rows, row_rank
-from mapweave.util import cut
+from mapweave.util import cut, spread
 
 
 def exact_stage(kb: KnowledgeBase, columns: DataFrame) -> DataFrame:
@@ -36,17 +36,16 @@ def vector_stage(kb: KnowledgeBase, columns: DataFrame, least: float = 0.5, top:
     destinations are a list of that fixed length, held by every task. Likenesses count to nine places; equal
     ones go to the first path. With keyed predictions (calibrate.explode_keys) the
     confidence is the accuracy of the matcher's field scores of that likeness, and `least` applies to it."""
-    goal = common_destinations(kb, top).select("destination", match.hash_embedding(F.col("destination")).alias("v")).orderBy("destination").collect()
+    goal = common_destinations(kb, top).select("destination", match.hash_places(F.col("destination")).alias("v")).orderBy("destination").collect()
     targets = [r.destination for r in goal]
-    width = len(goal[0].v) if goal else 1
-    units = np.array([r.v for r in goal], np.float64).reshape(len(goal), width)
+    units = match.place_counts(pa.array([r.v for r in goal], pa.list_(pa.int64())))
     size = np.sqrt((units * units).sum(axis=1))
-    asked = columns.select("name", match.hash_embedding(F.col("name")).alias("v"))
+    asked = spread(columns.where(F.col("name").isNotNull()).select("name")).select("name", match.hash_places(F.col("name")).alias("v"))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(0).to_pylist()
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), width)
+            v = match.place_counts(batch.column(1))
             own = np.sqrt((v * v).sum(axis=1))
             with np.errstate(invalid="ignore", divide="ignore"):
                 # cosines come in floating point: a little over 1 lies in no bin

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from mapweave.functions import text as tx
 from mapweave.operators import profile as profiles
 from mapweave.operators.kb import KnowledgeBase
-from mapweave.util import spread
+from mapweave.util import materialize, remove_path, spread
 
 #: Acceptance of a fuzzy match.
 FUZZY_GATE = 0.55
@@ -106,8 +106,9 @@ def fuzzy_lookup(queries: DataFrame, terms: DataFrame, least: float = FUZZY_GATE
     """
     if least <= 0.5:
         raise ValueError("scores up to 0.5 need fuzzy_search")
-    q = queries.select("query").where(F.length("query") > 0).distinct()
-    s = terms.select("source").where(F.length("source") >= 3).distinct()
+    q, q_at = materialize(queries.select("query").where(F.length("query") > 0).distinct(), "queries")
+    s, s_at = materialize(terms.select("source").where(F.length("source") >= 3).distinct(), "names")
+    q, s = spread(q), spread(s)
 
     def heads(c: Column) -> Column:
         return F.array_distinct(F.array(F.left(F.lower(c), F.lit(HEAD)), F.left(tx.stem(c), F.lit(HEAD))))
@@ -140,7 +141,10 @@ def fuzzy_lookup(queries: DataFrame, terms: DataFrame, least: float = FUZZY_GATE
 
     a, b = F.col("query"), F.col("source")
     both = contained(q, "query", s, "source").unionByName(contained(s, "source", q, "query")).unionByName(pairs(words(a), words(b))).distinct()
-    return both.withColumn("score", tx.fuzzy_score(a, b, ratio=False)).where(F.col("score") >= F.lit(least))
+    found, _ = materialize(both.withColumn("score", tx.fuzzy_score(a, b, ratio=False)).where(F.col("score") >= F.lit(least)), "pairs")
+    for at in (q_at, s_at):
+        remove_path(found.sparkSession, at)
+    return found
 
 
 def _subsequence(masks: dict[str, int], full: int, text: str) -> int:
@@ -320,14 +324,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def hash_embedding(c: Column, dims: int = 64, n: int = 3) -> Column:
-    """A vector of hashed character n-grams: the embedder where no model is at hand."""
+def hash_places(c: Column, dims: int = 64, n: int = 3) -> Column:
+    """Places of a text's character n-grams among `dims`, by their hashes."""
     padded = F.concat(F.lit("#"), F.lower(c), F.lit("#"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
-    places = F.transform(grams, lambda g: F.pmod(F.conv(F.left(F.md5(g), F.lit(8)), 16, 10).cast("bigint"), F.lit(dims)))
+    return F.transform(grams, lambda g: F.pmod(F.conv(F.left(F.md5(g), F.lit(8)), 16, 10).cast("bigint"), F.lit(dims)))
+
+
+def hash_embedding(c: Column, dims: int = 64, n: int = 3) -> Column:
+    """A vector of hashed character n-grams: the embedder where no model is at hand."""
+    places = hash_places(c, dims, n)
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("float"))
 
 
+def place_counts(places: pa.Array, dims: int = 64) -> np.ndarray:
+    """The vectors of hash_embedding from hash_places, a row each."""
+    offsets = places.offsets.to_numpy()
+    rows = np.repeat(np.arange(len(places)), np.diff(offsets))
+    at = places.flatten().to_numpy(zero_copy_only=False)
+    return np.bincount(rows * dims + at, minlength=len(places) * dims).reshape(len(places), dims).astype(np.float64)
+
+
 def expert_match(kb: KnowledgeBase, terms: DataFrame, targets: DataFrame) -> DataFrame:
     """terms known to the base: (term, target, score 1.0) for their paths among the targets; a term it
     doesn't know has a row with NULL target, so that a fallback can take over."""
