@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mapweave.functions.text import DOMAINS
+from mapweave.functions.text import DOMAINS, UNIT_SUFFIXES
 from mapweave.operators import normalize
-from mapweave.plans.queries import CLINICAL, EQUIVALENT, FIXES, WEIGHTS
+from mapweave.plans import oracle_profile
+from mapweave.plans.queries import CLINICAL, COHORT, EQUIVALENT, FIXES, WEIGHTS
 
 _ORPHANS = """
 SELECT 'destinations' AS table_name, ord, loaded_at FROM destinations
@@ -190,6 +191,11 @@ _LOOKED = _kb("SELECT DISTINCT term, id, source_schema, tier, source_context, de
 
 _CODED = "coded AS (SELECT coalesce(code_system, '') AS system, coalesce(code, '') AS code, coalesce(source_value, '') AS display, ord, id FROM content_values)"
 
+_PAIRS_MINED = """pairs AS (
+            SELECT 'value_id' AS term, 'Observation.identifier' AS path, 'field' AS pair_type, ord, 1 AS k FROM coded WHERE id IS NOT NULL
+            UNION ALL SELECT string_split(rtrim(system, '/'), '/')[-1], 'Observation.category.coding', 'field', ord, 0 FROM coded WHERE contains(system, '/') AND string_split(rtrim(system, '/'), '/')[-1] NOT IN ('sct', 'CodeSystem', 'ValueSet', '')
+            UNION ALL SELECT display, 'Observation.category.coding', 'content', ord, 0 FROM coded WHERE display <> '')"""
+
 # cascade
 _EXACT = ("exact AS (SELECT term AS name, arg_min(destination, dest_ord) AS target, CAST(1.0 AS DOUBLE) AS confidence, 'exact' AS stage FROM (" + _FOUND_DEST + ") AS x GROUP BY term)",)
 
@@ -399,16 +405,25 @@ def oracle_sql() -> dict[str, str]:
         "json_coding_usage": f"WITH {_CODED} SELECT system, code, count(*) AS n, arg_min(display, ord) AS display, 'Observation.category.coding' AS path FROM coded GROUP BY system, code",
         "json_coding_systems": f"WITH {_CODED} SELECT system, count(*) AS n FROM coded GROUP BY system",
         "json_reference_usage": "SELECT 'Observation' AS resource, 'subject' AS field, 'Patient' AS target, count(*) AS n FROM content_values WHERE id IS NOT NULL",
-        "json_pair_usage": f"""WITH {_CODED}, pairs AS (
-            SELECT 'value_id' AS term, 'Observation.identifier' AS path, 'field' AS pair_type, ord, 1 AS k FROM coded WHERE id IS NOT NULL
-            UNION ALL SELECT string_split(rtrim(system, '/'), '/')[-1], 'Observation.category.coding', 'field', ord, 0 FROM coded WHERE contains(system, '/') AND string_split(rtrim(system, '/'), '/')[-1] NOT IN ('sct', 'CodeSystem', 'ValueSet', '')
-            UNION ALL SELECT display, 'Observation.category.coding', 'content', ord, 0 FROM coded WHERE display <> '')
+        "json_pair_usage": f"""WITH {_CODED}, {_PAIRS_MINED}
             SELECT 'gdc' AS schema, term, path, count(*) AS n, arg_min(pair_type, (ord, k, pair_type)) AS pair_type, CASE WHEN arg_min(pair_type, (ord, k, pair_type)) = 'content' THEN 'content' ELSE 'field' END AS tier FROM pairs GROUP BY term, path""",
         "url_terms": """SELECT DISTINCT dest_system AS url, CASE WHEN dest_system = '' THEN '' """
         + " ".join(f"WHEN contains(dest_system, '{dom}') THEN '{s}'" for dom, s in DOMAINS)
         + """ ELSE split_part(split_part(replace(replace(dest_system, 'https://', ''), 'http://', ''), '/', 1), '.', 1) END AS schema,
             CASE WHEN contains(dest_system, '/') AND string_split(rtrim(dest_system, '/'), '/')[-1] NOT IN ('sct', 'CodeSystem', 'ValueSet', '') THEN string_split(rtrim(dest_system, '/'), '/')[-1] ELSE '' END AS term
             FROM destinations WHERE dest_system IS NOT NULL""",
+        **oracle_profile.oracle_sql(UNIT_SUFFIXES, tuple((e, c, k) for e, columns in (oracle_profile.TABLES | COHORT).items() for k, c in enumerate(columns))),
+        "minted_ids": """SELECT id, lower(left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS uuid
+            FROM (SELECT DISTINCT id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(id)) AS h FROM sources WHERE id IS NOT NULL) AS x""",
+        "hitl_export": _kb(
+            """SELECT term, CAST(to_json(list_sort(list({'destination': destination, 'schemas': schemas, 'suggested': destination = chosen}))) AS VARCHAR) AS options, 'pending' AS status FROM (
+            SELECT p.term, p.destination, list_sort(list(DISTINCT p.source_schema)) AS schemas, any_value(b.destination) AS chosen FROM mine p JOIN by_prio b USING (term) GROUP BY ALL) AS x GROUP BY term""",
+            *_CONFLICTS, *_BEST,
+        ),
+        "ground_truth_rows": f"""WITH {_CODED}, {_PAIRS_MINED}, mined AS (SELECT term, 'gdc' AS schema, path AS destination FROM pairs GROUP BY term, path HAVING count(*) >= 3)
+            SELECT term, schema, destination, min(origin) AS origin FROM (
+              SELECT source_term AS term, source_schema AS schema, destination, 'curated' AS origin FROM mapping_entries WHERE source_term IS NOT NULL AND destination IS NOT NULL
+              UNION ALL SELECT term, schema, destination, 'mined' FROM mined) AS x GROUP BY term, schema, destination""",
         "name_parts": f"SELECT DISTINCT source, {_stem('source')} AS stem, array_to_string(list_sort({_tokens('source')}), ',') AS tokens, left(translate(lower(source), ' -', '__'), 50) AS safe_id FROM sources WHERE source IS NOT NULL",
         "name_variants": """SELECT source, unnest(list_distinct(list_filter([source, CASE WHEN ends_with(source, 'ing') THEN left(source, length(source) - 3) || 'e' END, CASE WHEN ends_with(source, 'ing') THEN left(source, length(source) - 3) END,
             CASE WHEN ends_with(source, 's') THEN left(source, length(source) - 1) END], lambda x: x IS NOT NULL))) AS variant FROM (SELECT DISTINCT source FROM sources WHERE source IS NOT NULL) AS x""",

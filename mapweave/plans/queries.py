@@ -19,6 +19,12 @@ CLINICAL = (
     "Condition.stage.summary", "Observation.bodySite", "Observation.code", "Observation.component.valueInteger", "Observation.effectiveDateTime", "Observation.interpretation",
     "Observation.method", "Observation.valueCodeableConcept", "Observation.valueQuantity", "Procedure.bodySite", "Procedure.code", "Procedure.occurrenceDateTime", "Procedure.outcome",
 )
+#: Columns of tables as they are delivered, in their order.
+COHORT = {
+    "cohort": ("patient_id", "OS_Time", "os_event", "survival_months", "vital_status", "t_stage", "n_stage", "M_Stage"),
+    "variants": ("gene", "Chromosome", "start", "end", "vaf"),
+    "plain": ("chromosome", "note"),
+}
 FIXES = [("Observation.valueQuantity", "Observation.component.valueQuantity", "update"), ("Procedure.code", "", "update"), ("Specimen.parent", "", "delete")]
 
 
@@ -364,7 +370,9 @@ def table_profiles(spark, d):
 
 
 def column_relations(spark, d):
-    return profile.relationships(_columns(spark, d))
+    """Over the columns of the profiled tables, and of a clinical and a variant table as they come."""
+    own = _columns(spark, d).select("entity", "column_name", "position")
+    return profile.relationships(own.unionByName(spark.createDataFrame([(e, c, k) for e, columns in COHORT.items() for k, c in enumerate(columns)], "entity string, column_name string, position int")))
 
 
 def profile_summary(spark, d):
