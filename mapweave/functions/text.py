@@ -214,6 +214,19 @@ def is_submitter_id(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z0-9\-.]+$"), F.lit(False))
 
 
+def is_plain_string(c: Column) -> Column:
+    """No white space at the ends, and one at a time within."""
+    return F.coalesce(c.rlike(r"^[^\s]+(\s[^\s]+)*$"), F.lit(False))
+
+
+def split_center_id(c: Column) -> Column:
+    """`center_number[_part...]` as (participant_id, subsets): the center with the first part, and the parts after it. NULL
+    without a part."""
+    parts = F.split(c, "_")
+    whole = F.concat_ws("_", F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2)))
+    return F.when(F.size(parts) > 1, F.struct(whole.alias("participant_id"), F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))).alias("subsets")))
+
+
 def body_structures(c: Column) -> Column:
     """`code:display, code:display` or plain text as an array of (code, display)."""
 
@@ -253,7 +266,7 @@ def parse_answer(content: Column, candidates: Column | None = None) -> Column:
     standing in the text, else the first candidate, else the first path-like word, else `unknown`."""
     raw = F.trim(F.regexp_extract(content, r"(?i)CHOSEN TARGET:\s*(.+?)(?:\n|$)", 1))
     named = F.trim(F.regexp_replace(raw, "^[*`\"']+|[*`\"']+$", ""))
-    path = F.regexp_extract(content, r"\b([A-Z][a-z]+)\.([a-z_]+(?:\.[a-z_]+)*)\b", 0)
+    path = F.regexp_extract(content, r"\b[A-Z][A-Za-z]*(?:\.[a-z][A-Za-z_]*)+", 0)
     cases = [(named != "", named)]
     if candidates is not None:
         inside = F.filter(candidates, lambda t: content.contains(t))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mapweave.util import cut, join_by_group
+
 BINS = 10
 #: A key is eligible with so many positives and so many predictions.
 MIN_POSITIVE, MIN_TOTAL = 100, 300
+#: Matchers of one calibration run at most.
+MOST_MATCHERS = 1000
 
 
 def key_chain(matcher: Column, tier: Column, schema: Column, context: Column) -> Column:
@@ -77,8 +81,11 @@ def ece(keyed: DataFrame, compat: bool = False) -> DataFrame:
     return out.withColumn("verdict", interpret(F.col("ece")))
 
 
-def report(keyed: DataFrame) -> DataFrame:
-    return key_stats(keyed).orderBy(F.desc("n_total"), "key")
+def report(keyed: DataFrame, top: int | None = None) -> DataFrame:
+    """key_stats with each key's matcher and its rank among the matcher's keys, the largest first; the `top` largest."""
+    w = Window.partitionBy("matcher").orderBy(F.desc("n_total"), "key")
+    out = key_stats(keyed).withColumn("matcher", F.split_part("key", F.lit(":"), F.lit(1))).withColumn("rank", F.row_number().over(w)).orderBy(F.desc("n_total"), "key")
+    return out.limit(top) if top is not None else out
 
 
 def calibrate_scores(scores: DataFrame, keyed: DataFrame, compat: bool = False) -> DataFrame:
@@ -90,8 +97,10 @@ def calibrate_scores(scores: DataFrame, keyed: DataFrame, compat: bool = False)
     stats = key_stats(keyed).select("key", "eligible")
     table = curves(keyed, compat).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bin", "accuracy"))).alias("curve"))
     known = stats.join(table, "key")
-    chain = scores.select("id", "confidence", F.posexplode(key_chain(*(F.col(c) for c in ("matcher", "tier", "schema", "context")))).alias("level", "key"))
-    hit = chain.join(known, "key")
+    chain = cut(scores, "scores").select("id", "confidence", F.posexplode(key_chain(*(F.col(c) for c in ("matcher", "tier", "schema", "context")))).alias("level", "key"))
+    # the general keys of a matcher hold all its scores
+    sized = chain.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).join(known, "key")
+    hit = join_by_group(chain, sized, "key", "_n", chain.count())
     b = bin_of(F.col("confidence"))
     value = F.try_element_at("curve", b)
     picked = hit.withColumn("value", value).groupBy("id").agg(
@@ -134,11 +143,35 @@ def top1_outcomes(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return best.withColumn("_t", F.lower("target")).join(right, ["id", "_t"], "left").select("id", "target", "score", F.coalesce("_hit", F.lit(False)).alias("correct"))
 
 
-def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
-    """n rows, the same on every run: the sampling operator of calibration runs."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
-
+def build(predictions: DataFrame, truth: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calibrators of several matchers on several tiers at once, with their summary.
 
-def best_first(df: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "ord")
-    return df.withColumn("rank", F.row_number().over(w))
+    predictions (matcher, tier, id, target, score, ord) against truth (tier, id, target): the best prediction of each
+    matcher and id is right if it is a true target (top1_outcomes). Returns the outcomes (matcher, tier, id, target, score,
+    correct), the curves of each `matcher:tier` and `matcher`, and the summary (matcher, tier, n, accuracy, mean_conf,
+    ece), with tier `global` for all tiers of a matcher. Scores outside of 0..1 count and lie in no bin.
+    """
+    key = F.struct("matcher", "tier", "id").alias("id")
+    matchers = [r.matcher for r in predictions.select("matcher").where(F.col("matcher").isNotNull()).distinct().limit(MOST_MATCHERS + 1).collect()]
+    if len(matchers) > MOST_MATCHERS:
+        raise ValueError(f"more than {MOST_MATCHERS} matchers")
+    right = truth.withColumn("matcher", F.explode(F.array(*map(F.lit, matchers)) if matchers else F.array().cast("array<string>"))).select(key, "target")
+    best = top1_outcomes(predictions.select(key, "target", "score", "ord"), right).select("id.*", "target", "score", "correct")
+    keyed = best.select(F.explode(F.array(F.concat_ws(":", "matcher", "tier"), F.col("matcher"))).alias("key"), F.col("score").cast("double").alias("confidence"), F.col("correct").cast("int").alias("correct"))
+    summary = ece(keyed, compat).select(
+        F.split_part("key", F.lit(":"), F.lit(1)).alias("matcher"),
+        F.when(F.col("key").contains(":"), F.split_part("key", F.lit(":"), F.lit(2))).otherwise("global").alias("tier"),
+        "n", "accuracy", "mean_conf", "ece",
+    )
+    return best, curves(keyed, compat), summary
+
+
+def save_curves(table: DataFrame, summary: DataFrame, path: str) -> None:
+    """Curves as Parquet, the summary as CSV with a header."""
+    table.write.mode("overwrite").parquet(f"{path}/curves")
+    summary.write.mode("overwrite").option("header", True).csv(f"{path}/summary")
+
+
+def open_curves(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    kinds = "matcher string, tier string, n long, accuracy double, mean_conf double, ece double"
+    return spark.read.parquet(f"{path}/curves"), spark.read.schema(kinds).option("header", True).csv(f"{path}/summary")

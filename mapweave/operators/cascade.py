@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
 from mapweave.operators import calibrate, match
-from mapweave.operators.kb import KnowledgeBase, first_rows, row_rank
+from mapweave.operators.kb import KnowledgeBase, row_rank
 from mapweave.util import cut, spread
 
 
@@ -114,6 +114,16 @@ def run_tiers(matches: DataFrame, weights: dict[str, float], k: int = 5) -> tupl
     return acted, counts
 
 
+def learn_metrics(matches: DataFrame) -> DataFrame:
+    """matches (tier, level, requires_review, user_feedback) -> a row per tier: total, high, medium, low, review,
+    feedback_true, feedback_false. NULL feedback is neither."""
+    levels = [F.count_if(F.col("level") == k).alias(k) for k in ("high", "medium", "low")]
+    return matches.groupBy("tier").agg(
+        F.count(F.lit(1)).alias("total"), *levels, F.count_if(F.col("requires_review")).alias("review"),
+        F.count_if(F.col("user_feedback")).alias("feedback_true"), F.count_if(~F.col("user_feedback")).alias("feedback_false"),
+    )
+
+
 def coverage(mapped: DataFrame) -> DataFrame:
     """(stage, n, share) by stage, and the share of names with a target in the row `mapped`."""
     g = mapped.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
@@ -140,7 +150,3 @@ def eval_report(judged: DataFrame) -> DataFrame:
     kinds = ("EXACT", "FAMILY", "WRONG", "UNMAPPED")
     g = judged.rollup("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("verdict") == k).alias(k.lower()) for k in kinds))
     return g.select(F.coalesce("stratum", F.lit("ALL")).alias("stratum"), "n", *(k.lower() for k in kinds), F.round((F.col("exact") + F.col("family")) / F.col("n"), 6).alias("usable"))
-
-
-def first_destination(kb: KnowledgeBase) -> DataFrame:
-    return first_rows(kb.mappings().select("source", "destination", "dest_ord"), ["source"], [F.col("dest_ord")])

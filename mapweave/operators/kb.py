@@ -93,6 +93,14 @@ class KnowledgeBase:
         hit = asked.join(self.targets, F.col("_p") == F.lower("fhir_path"))
         return hit.join(self.values, F.col("content_value_id") == F.col("id")).select("path", "id", "source_value", "source_category", "code")
 
+    @staticmethod
+    def lookup_records(names: DataFrame, entities: DataFrame, details: DataFrame, records: DataFrame) -> DataFrame:
+        """entities (key, ...) with their details (key, ...) and records (key, name, ...) by two left joins, for the records named
+        exactly so in names (name), distinct: an entity without details comes with NULLs, one without such a record doesn't.
+        Records are cut down to the names before the joins, so no side is read for others."""
+        asked = records.join(names.select("name").where(F.col("name").isNotNull()).distinct(), "name", "left_semi")
+        return asked.join(entities, "key").join(details, "key", "left").drop("key").distinct()
+
     def filter_tier(self, tier: str) -> DataFrame:
         return self.mappings().where(F.col("tier") == tier)
 

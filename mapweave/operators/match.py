@@ -40,6 +40,11 @@ def gate(scored: DataFrame, least: float = FUZZY_GATE) -> DataFrame:
     return scored.where((F.col("score") >= F.lit(least)) & F.col("target").contains("."))
 
 
+def within_resources(targets: DataFrame, resources: list[str]) -> DataFrame:
+    """Targets that are one of the resources or lie in one."""
+    return targets.where(F.split_part("target", F.lit("."), F.lit(1)).isin(*resources))
+
+
 def confidence_level(score: Column, high: float = 0.95, medium: float = 0.85) -> Column:
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
 
@@ -345,6 +350,35 @@ def place_counts(places: pa.Array, dims: int = 64) -> np.ndarray:
     return np.bincount(rows * dims + at, minlength=len(places) * dims).reshape(len(places), dims).astype(np.float64)
 
 
+def nearest_names(names: DataFrame, goals: DataFrame, n: int = 3, dims: int = 64) -> DataFrame:
+    """names (tier, id) x goals (tier, target, ord) -> (tier, id, target, score, ord): the goal of the tier most like each name by
+    hashed n-grams, cosines to nine places, ties by ord. Goals are a list of up to QUERY_BLOCK entries held by every task;
+    more are an error. A tier without goals gives no rows."""
+    held = goals.select("tier", "target", "ord", hash_places(F.col("target"), dims, n).alias("p")).orderBy("tier", "ord", "target").limit(QUERY_BLOCK + 1).collect()
+    if len(held) > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} targets")
+    by: dict[str, tuple[list, np.ndarray]] = {}
+    for tier in {r.tier for r in held}:
+        mine = [r for r in held if r.tier == tier]
+        v = place_counts(pa.array([r.p for r in mine], pa.list_(pa.int64())), dims)
+        by[tier] = ([(r.target, r.ord) for r in mine], v / np.sqrt((v * v).sum(axis=1))[:, None])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tiers, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            v = place_counts(batch.column(2), dims)
+            rows = []
+            for tier, (targets, units) in by.items():
+                mine = [k for k, t in enumerate(tiers) if t == tier]
+                s = np.minimum(np.round(v[mine] @ units.T / np.sqrt((v[mine] ** 2).sum(axis=1))[:, None], 9), 1.0)
+                rows += [(tier, ids[k], targets[j][0], float(s[i, j]), targets[j][1]) for i, (k, j) in enumerate(zip(mine, s.argmax(axis=1)))]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(5)], ["tier", "id", "target", "score", "ord"])
+
+    asked = spread(names.select("tier", "id")).select("tier", "id", hash_places(F.col("id"), dims, n).alias("p"))
+    return asked.mapInArrow(near, "tier string, id string, target string, score double, ord long")
+
+
 def expert_match(kb: KnowledgeBase, terms: DataFrame, targets: DataFrame) -> DataFrame:
     """terms known to the base: (term, target, score 1.0) for their paths among the targets; a term it
     doesn't know has a row with NULL target, so that a fallback can take over."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions.text import first_of, has_any
@@ -80,19 +80,19 @@ def validate_path(paths: DataFrame, fields: DataFrame) -> DataFrame:
     loose = classes.groupBy(F.lower("class").alias("_low")).agg(F.min("class").alias("_loose"))
     f_exact = fields.select(F.col("class").alias("_r"), F.col("slot").alias("_f"), F.lit(True).alias("_known")).distinct()
     f_loose = fields.groupBy(F.col("class").alias("_r"), F.lower("slot").alias("_flow")).agg(F.min("slot").alias("_floose"))
-    j = p.join(F.broadcast(exact), "_r", "left").withColumn("_low", F.lower("_r")).join(F.broadcast(loose), "_low", "left")
+    j = p.join(exact, "_r", "left").withColumn("_low", F.lower("_r")).join(loose, "_low", "left")
     j = j.join(f_exact, ["_r", "_f"], "left").withColumn("_flow", F.lower("_f")).join(f_loose, ["_r", "_flow"], "left")
     dotted = F.col("path").contains(".")
     issue = first_of(
         [
-            (~dotted, "no dot separator"),
-            (F.col("_exact").isNull() & F.col("_loose").isNotNull(), F.concat(F.lit("case mismatch: should be '"), F.col("_loose"), F.lit("'"))),
-            (F.col("_exact").isNull(), F.concat(F.lit("unknown resource: "), F.col("_r"))),
+            (~dotted, "no field"),
+            (F.col("_exact").isNull() & F.col("_loose").isNotNull(), F.concat(F.lit("class spelled "), F.col("_loose"))),
+            (F.col("_exact").isNull(), F.concat(F.lit("no class "), F.col("_r"))),
             (F.coalesce(F.col("_known"), F.lit(False)), ""),
-            (F.col("_f").rlike("^(nci_|gdc_|htan_)"), F.concat(F.lit("custom field: "), F.col("_f"), F.lit(" (not standard)"))),
-            (F.col("_floose").isNotNull(), F.concat(F.lit("case mismatch: should be '"), F.col("_floose"), F.lit("'"))),
+            (F.col("_f").rlike("^(nci_|gdc_|htan_)"), F.concat(F.lit("local slot "), F.col("_f"))),
+            (F.col("_floose").isNotNull(), F.concat(F.lit("slot spelled "), F.col("_floose"))),
         ],
-        F.concat(F.lit("unknown field: "), F.col("_f")),
+        F.concat(F.lit("no slot "), F.col("_f")),
     )
     valid = dotted & F.col("_exact").isNotNull() & F.coalesce("_known", F.lit(False))
     resource = F.when(dotted, F.coalesce("_exact", "_loose", F.lit(""))).otherwise("")
@@ -200,11 +200,6 @@ def ground_truth_metrics(mappings: DataFrame, truth: DataFrame) -> DataFrame:
     return j.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def last_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("ord"))
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
-
-
 def ground_truth(entries: DataFrame, usage: DataFrame, min_count: int = 3) -> DataFrame:
     """(term, schema, destination, origin): curated entries (source_term, source_schema, destination), and mined
     pairs (term, schema, path, n) seen often enough, each once."""

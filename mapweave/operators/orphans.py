@@ -55,7 +55,7 @@ def orphan_references(tables: dict[str, Table], references: list[Reference]) ->
     NULL and "" references are no references. Several rows with one key are one parent, alive if any is.
     Repeated child rows are kept (each has its own row_id). A NULL timestamp gives a NULL period. Empty
     tables give no orphans as children and only orphans as parents. Further columns, of whatever name, are
-    ignored. Row ids and references come out as strings.
+    ignored. Row ids and references come out as strings. The result is a table.
 
     Plan: references are pre-aggregated per value before the anti-join; a hot value is joined back by
     broadcast, of which there are at most a thousand; nothing is collected but counts.
@@ -88,9 +88,11 @@ def orphan_references(tables: dict[str, Table], references: list[Reference]) ->
 
     direct: dict[int, DataFrame] = {}
     sizes: dict[int, int] = {}
+    direct_paths: list[str] = []
     for i, r in enumerate(references):
         ids = _dangling(rows[i].select("_id", "_ref"), keys(r.parent, dict(rows[i].dtypes)["_ref"], []), totals[i])
-        direct[i], _ = materialize(ids, "orphans")
+        direct[i], at = materialize(ids, "orphans")
+        direct_paths.append(at)
         state[i], sizes[i] = direct[i], direct[i].count()
 
     paths: dict[int, str] = {}
@@ -130,6 +132,11 @@ def orphan_references(tables: dict[str, Table], references: list[Reference]) ->
             "period",
         )
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no references")
+    out, _ = materialize(out, "orphans-found")
+    for path in {*direct_paths, *paths.values()}:
+        remove_path(out.sparkSession, path)
     return out
 
 

@@ -42,14 +42,14 @@ PROVENANCES = (
     ("clinical_registry", ("mrn", "encounter", "visit", "admission")),
     ("research_study", ("participant", "subject", "cohort", "arm")),
 )
-# What a use is described as.
+# What a use is described as.
 PURPOSES = (
-    ("survival_analysis", "clinical survival/outcome data for patient cohort analysis"),
-    ("variant_tracking", "molecular variant data for genomic analysis"),
-    ("lab_results", "laboratory test results and measurements"),
-    ("staging_grading", "cancer staging and grading assessment data"),
-    ("sample_metadata", "biospecimen/sample metadata and characteristics"),
-    ("clinical_phenotyping", "clinical phenotype and diagnosis data"),
+    ("survival_analysis", "outcomes of a cohort over time"),
+    ("variant_tracking", "variants found in samples"),
+    ("lab_results", "results of tests"),
+    ("staging_grading", "extent and grade of tumors"),
+    ("sample_metadata", "what samples are and where they come from"),
+    ("clinical_phenotyping", "findings and diagnoses"),
 )
 
 
@@ -70,6 +70,19 @@ def first_samples(cells: DataFrame, n: int = 3) -> DataFrame:
     return ranked.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]).alias("samples"))
 
 
+def header_scan(df: DataFrame, order: str, rows: int = 200, values: int = 3, width: int = 60, limit: int | None = None) -> DataFrame:
+    """(column_name, position, samples) of a table's head: of the first `rows` rows by `order`, each column's first `values` texts that
+    aren't empty, cut to `width` letters; the first `limit` columns. A byte order mark before the first name is no part of
+    it. A column without values has none."""
+    columns = [c for c in df.columns if c != order][:limit]
+    head = df.orderBy(order).limit(rows)
+    cells = unpivot(head, order, columns)
+    found = first_samples(cells.where(F.col("value") != "").withColumn("value", F.left("value", F.lit(width))), values)
+    names = cells.sparkSession.createDataFrame([(c, k) for k, c in enumerate(columns)], "column_name string, position int")
+    named = names.join(found, "column_name", "left")
+    return named.select(F.ltrim("column_name", F.lit("\ufeff")).alias("column_name"), "position", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
 def column_stats(cells: DataFrame, approximate: bool = False) -> DataFrame:
     """(column_name, position, row_count, null_count, distinct_count)."""
     distinct = F.approx_count_distinct("value") if approximate else F.countDistinct("value")
@@ -122,8 +135,9 @@ def content_types(columns: DataFrame, compat: bool = False) -> DataFrame:
     def kind(dtype: str, pattern: str | None, vocabulary: str | None = None) -> Column:
         return F.struct(F.lit(dtype).alias("dtype"), F.lit(pattern).cast("string").alias("pattern"), F.lit(vocabulary).cast("string").alias("vocabulary"))
 
+    # The published patterns, where compat is set.
     stage = r"(?i)^(stage\s*)?(I{1,3}V?|[1-4])[ABC]?$" if compat else r"(?i)^((stage\s*)(I{1,3}V?|[1-4])|I{1,3}V?)[ABC]?$"
-    grade = r"(?i)^(G[1-4X]$|(grade\s*)?[1-4]$)" if compat else r"(?i)^(G[1-4X]$|(grade\s*)[1-4]$)"
+    grade = r"(?i)^G[1-4X]$|^(grade\s*)?[1-4]$" if compat else r"^(g|grade\s*)[1-4]$|^gx$"
     chromosome = r"(?i)^(?:(chr)?\d{1,2}|X|Y$)" if compat else r"(?i)^(chr(\d{1,2}|X|Y)|X|Y)$"
     number = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
     numeric = _matches(v, number)
@@ -210,7 +224,7 @@ def table_profile(columns: DataFrame) -> DataFrame:
     use = F.when(top["s"] > 0, top["u"]).otherwise("unknown")
     origin = first_of([(F.coalesce("_gsm", F.lit(False)), "geo_repository")] + [(has_any(t, w), p) for p, w in PROVENANCES], "unknown")
     g = g.withColumn("use_case", use).withColumn("provenance", origin)
-    purpose = first_of([(F.col("use_case") == u, p) for u, p in PURPOSES], "biomedical data")
+    purpose = first_of([(F.col("use_case") == u, p) for u, p in PURPOSES], "observations")
     suffix = first_of([(F.col("provenance") == "geo_repository", " from geo repository"), (F.col("provenance") == "sequencing_lab", " from sequencing laboratory")], "")
     entity = first_of(
         [

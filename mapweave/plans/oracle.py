@@ -206,10 +206,10 @@ def _fuzzy_best(hits: str, name: str, cap: float) -> str:
               SELECT DISTINCT {name}, h.source, m.destination AS target, h.score FROM {hits} h JOIN m ON m.source = h.source WHERE h.score >= 0.55 AND contains(m.destination, '.')) AS x) AS y WHERE rn = 1"""
 
 
-def _vector(c: str) -> str:
-    """Hashed letter triples of a name, in 64 places."""
+def _vector(c: str, n: int = 3) -> str:
+    """Hashed groups of n letters of a name, in 64 places."""
     p = f"('#' || lower({c}) || '#')"
-    places = f"list_transform(range(1, greatest(length({p}) - 2, 1) + 1), lambda i: CAST(('0x' || left(md5(substr({p}, i, 3)), 8)) AS BIGINT) % 64)"
+    places = f"list_transform(range(1, greatest(length({p}) - {n - 1}, 1) + 1), lambda i: CAST(('0x' || left(md5(substr({p}, i, {n})), 8)) AS BIGINT) % 64)"
     return f"list_transform(range(64), lambda d: CAST(len(list_filter({places}, lambda x: x = d)) AS DOUBLE))"
 
 
@@ -285,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
             JOIN (SELECT source, source_context, arg_max(id, ord) AS id, arg_max(source_schema, ord) AS source_schema FROM s GROUP BY ALL) AS l ON a.term = l.source AND a.context = l.source_context
             JOIN d ON d.source_id = l.id WHERE a.schema = '' OR a.schema = l.source_schema"""
         ),
-        "kb_reverse_lookup": _kb("SELECT path, destination, id, source FROM (SELECT DISTINCT lower(proposed_target) AS path FROM names WHERE matcher = 'rule' AND proposed_target IS NOT NULL) AS a JOIN m ON path = lower(destination)"),
+        "kb_reverse_lookup": _kb("SELECT path, destination, id, source FROM (SELECT DISTINCT lower(proposed_target) AS path FROM names WHERE proposed_target IS NOT NULL) AS a JOIN m ON path = lower(destination)"),
         "kb_filter_tier": _kb("SELECT id, source, destination FROM m WHERE tier = 'entity'"),
         "kb_filter_schema": _kb("SELECT id, source, destination FROM m WHERE source_schema = 'geo'"),
         "kb_tier_candidates": _kb("SELECT DISTINCT destination FROM m WHERE tier = 'content'"),
@@ -345,8 +345,8 @@ def oracle_sql() -> dict[str, str]:
         "focus_refs": f"SELECT DISTINCT source_context, source, {_focus('source_context', 'source')} AS focus FROM sources",
         "path_validation": _kb(
             """SELECT path, dotted AND ex IS NOT NULL AND known AS valid, CASE WHEN dotted THEN coalesce(ex, lo, '') ELSE '' END AS resource, CASE WHEN dotted AND ex IS NOT NULL AND known THEN f ELSE '' END AS field,
-            CASE WHEN NOT dotted THEN 'no dot separator' WHEN ex IS NULL AND lo IS NOT NULL THEN 'case mismatch: should be ''' || lo || '''' WHEN ex IS NULL THEN 'unknown resource: ' || r WHEN known THEN ''
-              WHEN regexp_matches(f, '^(nci_|gdc_|htan_)') THEN 'custom field: ' || f || ' (not standard)' WHEN fl IS NOT NULL THEN 'case mismatch: should be ''' || fl || '''' ELSE 'unknown field: ' || f END AS issue
+            CASE WHEN NOT dotted THEN 'no field' WHEN ex IS NULL AND lo IS NOT NULL THEN 'class spelled ' || lo WHEN ex IS NULL THEN 'no class ' || r WHEN known THEN ''
+              WHEN regexp_matches(f, '^(nci_|gdc_|htan_)') THEN 'local slot ' || f WHEN fl IS NOT NULL THEN 'slot spelled ' || fl ELSE 'no slot ' || f END AS issue
             FROM (SELECT a.*, contains(path, '.') AS dotted, (SELECT min(class) FROM fields WHERE class = r) AS ex, (SELECT min(class) FROM fields WHERE lower(class) = lower(r)) AS lo,
               EXISTS (SELECT 1 FROM fields WHERE class = r AND slot = f) AS known, (SELECT min(slot) FROM fields WHERE class = r AND lower(slot) = lower(f)) AS fl
               FROM (SELECT DISTINCT destination AS path, split_part(destination, '.', 1) AS r, split_part(destination, '.', 2) AS f FROM mapping_entries WHERE destination IS NOT NULL) AS a) AS x""",

@@ -51,7 +51,7 @@ def _kind(dtype: str, pattern: str | None, vocabulary: str | None = None) -> str
 
 def _types(compat: bool) -> str:
     stage = r"(?i)^(stage\s*)?(I{1,3}V?|[1-4])[ABC]?$" if compat else r"(?i)^((stage\s*)(I{1,3}V?|[1-4])|I{1,3}V?)[ABC]?$"
-    grade = r"(?i)^(G[1-4X]$|(grade\s*)?[1-4]$)" if compat else r"(?i)^(G[1-4X]$|(grade\s*)[1-4]$)"
+    grade = r"(?i)^G[1-4X]$|^(grade\s*)?[1-4]$" if compat else r"^(g|grade\s*)[1-4]$|^gx$"
     chromosome = r"(?i)^(?:(chr)?\d{1,2}|X|Y$)" if compat else r"(?i)^(chr(\d{1,2}|X|Y)|X|Y)$"
     is_id = _any("low", ("_id", "identifier", "accession"))
     numeric = _all(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$")
@@ -131,7 +131,7 @@ _PROFILES = (
     f"""uses AS (SELECT entity, t, CASE WHEN top.s > 0 THEN top.u ELSE 'unknown' END AS use_case, CASE WHEN gsm THEN 'geo_repository' {" ".join(f"WHEN {_any('t', w)} THEN '{p}'" for p, w in pr.PROVENANCES)} ELSE 'unknown' END AS provenance
       FROM (SELECT *, {_uses()} AS top FROM words) AS x)""",
 )
-_PROFILE_OUT = f"""SELECT entity, use_case, provenance, {_cases("use_case", pr.PURPOSES, "biomedical data")} || CASE provenance WHEN 'geo_repository' THEN ' from geo repository' WHEN 'sequencing_lab' THEN ' from sequencing laboratory' ELSE '' END AS purpose,
+_PROFILE_OUT = f"""SELECT entity, use_case, provenance, {_cases("use_case", pr.PURPOSES, "observations")} || CASE provenance WHEN 'geo_repository' THEN ' from geo repository' WHEN 'sequencing_lab' THEN ' from sequencing laboratory' ELSE '' END AS purpose,
   CASE WHEN contains(use_case, 'variant') OR {_any("t", ("gene", "variant", "mutation", "hgvs"))} THEN 'variant_observation' WHEN contains(use_case, 'lab') THEN 'lab_observation'
     WHEN {_any("t", ("sample_id", "specimen", "biopsy"))} THEN 'sample' ELSE 'patient' END AS primary_entity FROM uses"""
 

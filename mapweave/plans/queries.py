@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
-from mapweave.operators import calibrate, cascade, feedback, fhir, match, normalize, orphans, profile
+from mapweave.operators import calibrate, cascade, feedback, fhir, match, normalize, orphans, profile, rules, vectors
 from mapweave.operators.kb import KnowledgeBase, row_rank
+from mapweave.plans import tools
 from mapweave.streaming import feedback as streaming
-from mapweave.util import read_table
+from mapweave.util import cut, read_table, scratch_path
 
 WEIGHTS = {"biobert": 0.4, "magneto": 0.6}
 EQUIVALENT = [("Condition.code", "Condition.bodySite"), ("Patient.gender", "Patient.extension.race")]
@@ -19,6 +20,8 @@ CLINICAL = (
     "Condition.stage.summary", "Observation.bodySite", "Observation.code", "Observation.component.valueInteger", "Observation.effectiveDateTime", "Observation.interpretation",
     "Observation.method", "Observation.valueCodeableConcept", "Observation.valueQuantity", "Procedure.bodySite", "Procedure.code", "Procedure.occurrenceDateTime", "Procedure.outcome",
 )
+# Resources an entity's columns may go to.
+ENTITY_RESOURCES = {"patient": ["Patient", "Condition", "Observation"], "sample": ["Specimen", "Observation"], "file": ["DocumentReference", "Observation"]}
 #: Columns of tables as they are delivered, in their order.
 COHORT = {
     "cohort": ("patient_id", "OS_Time", "os_event", "survival_months", "vital_status", "t_stage", "n_stage", "M_Stage"),
@@ -328,6 +331,42 @@ def calib_scores(spark, d):
     return calibrate.calibrate_scores(scores, _keyed(spark, d)).select("id", "confidence", "key_used", F.round("calibrated", 6).alias("calibrated"))
 
 
+def calib_top_keys(spark, d):
+    return calibrate.report(_keyed(spark, d), 15)
+
+
+def tier_metrics(spark, d):
+    m = _candidates(spark, d).where("score IS NOT NULL AND NOT isnan(score)")
+    return cascade.learn_metrics(m.select("tier", match.confidence_level(F.col("score")).alias("level"), F.coalesce("requires_hitl", F.lit(False)).alias("requires_review"), "user_feedback"))
+
+
+def _calibrated(spark, d, compat=False):
+    """Rule, and two embedders by hashed letters, against the base's own mappings on each tier."""
+    m = _kb(spark, d).mappings().where("source <> '' AND tier IN ('entity', 'field', 'content')").select("tier", F.col("source").alias("id"), F.col("destination").alias("target"), "dest_ord")
+    m = cut(m.groupBy("tier", "id", "target").agg(F.min("dest_ord").alias("ord")), "truth")
+    goals = m.groupBy("tier", "target").agg(F.min("ord").alias("ord"))
+    known = m.groupBy("tier", "id").agg(F.min_by("target", "ord").alias("target"), F.min("ord").alias("ord")).withColumn("score", F.lit(1.0)).withColumn("matcher", F.lit("rule"))
+    out = known.select("matcher", "tier", "id", "target", "score", "ord")
+    for matcher, n in (("pairs", 2), ("triples", 3)):
+        out = out.unionByName(match.nearest_names(m.select("tier", "id").distinct(), goals, n).withColumn("matcher", F.lit(matcher)))
+    return calibrate.build(out, m, compat)
+
+
+def flat_calibration(spark, d):
+    _, _, summary = _calibrated(spark, d)
+    return summary.select("matcher", "tier", "n", *(F.round(c, 6).alias(c) for c in ("accuracy", "mean_conf", "ece")))
+
+
+def calib_compare(spark, d):
+    """The calibration with bins as they are read, beside that with bins as they are published."""
+    a, b = (_calibrated(spark, d, compat)[2] for compat in (False, True))
+    return calibrate.compare_runs(a, b).select("matcher", "tier", *((F.round(c, 6) + 0.0).alias(c) for c in ("accuracy_no", "ece_no", "accuracy_yes", "ece_yes", "accuracy_delta", "ece_delta")))
+
+
+def common_destinations(spark, d):
+    return cascade.common_destinations(_kb(spark, d))
+
+
 # profiling
 def _cells(spark, d, table="cases"):
     return profile.unpivot(read_table(spark, d, table), "ord")
@@ -456,6 +495,123 @@ def category_paths(spark, d):
     return c.select("source_category", fhir.infer_path(F.col("source_category")).alias("path"))
 
 
+# heads of tables, targets, records
+def csv_header_scan(spark, d):
+    found = profile.header_scan(read_table(spark, d, "cases"), "ord", rows=200, limit=6)
+    return found.select("column_name", "position", F.array_join("samples", " | ").alias("samples"))
+
+
+def entity_targets(spark, d):
+    return match.within_resources(_targets(spark, d), ENTITY_RESOURCES["sample"])
+
+
+def compound_lookup(spark, d):
+    kb = _kb(spark, d)
+    entities = kb.values.select(F.col("id").alias("key"), "code")
+    details = kb.targets.select(F.col("content_value_id").alias("key"), "fhir_path", "fhir_resource")
+    records = kb.values.select(F.col("id").alias("key"), F.col("source_value").alias("name"))
+    return kb.lookup_records(read_table(spark, d, "cases").select(F.col("primary_diagnosis").alias("name")), entities, details, records)
+
+
+def tool_lookup(spark, d):
+    tools.register(_kb(spark, d), "mapweave")
+    return tools.ask(spark, "mapweave_lookup_content", read_table(spark, d, "cases").select(F.col("race").alias("value")).where("value IS NOT NULL"), "value")
+
+
+def vector_search(spark, d):
+    """An index of the base with the reviewers' corrections, asked for each name of a row whose id is divisible by 100."""
+    index = vectors.VectorIndex(spark, scratch_path(spark, "index"))
+    index.build(_kb(spark, d))
+    fixed = feedback.clean(read_table(spark, d, "feedback")).where("decision = 'correct' AND ground_truth <> ''")
+    index.upsert(fixed.select("source", F.col("ground_truth").alias("target")))
+    asked = _names(spark, d).where("id % 100 = 0").select(F.col("source").alias("query"))
+    return index.search(asked, 5).select("query", "id", "source", "target", F.round("score", 6).alias("score"), "rank")
+
+
+def _fields(spark, d):
+    """A catalog as the destinations tell it: a class and its slots, named first and second."""
+    t = read_table(spark, d, "destinations").where(F.col("destination").contains("."))
+    t = t.groupBy(F.split_part("destination", F.lit("."), F.lit(1)).alias("class"), F.split_part("destination", F.lit("."), F.lit(2)).alias("slot"))
+    t = t.agg(F.min("ord").alias("slot_ord"), (F.count(F.lit(1)) > 20).alias("required"))
+    return t.withColumn("class_ord", F.ascii("class"))
+
+
+def catalog_search(spark, d):
+    return fhir.search_fields(_fields(spark, d), "TYPE").select("class", "slot")
+
+
+def catalog_fields(spark, d):
+    return fhir.resource_fields(_fields(spark, d), "specimen").select("class", "slot", "required")
+
+
+def catalog_paths(spark, d):
+    return fhir.field_paths(_fields(spark, d))
+
+
+def record_codes(spark, d):
+    c = read_table(spark, d, "cases")
+    return c.select("ord", tx.lookup_code(F.col("gender"), tx.GENDERS, "unknown").alias("gender"), tx.lookup_code(F.col("vital_status"), tx.DECEASED).alias("deceased"))
+
+
+def id_checks(spark, d):
+    c = read_table(spark, d, "cases").select("ord", "participant_id")
+    center = tx.split_center_id(F.translate("participant_id", "-", "_"))
+    return c.select("ord", tx.is_submitter_id(F.col("participant_id")).alias("submitter"), tx.is_plain_string(F.col("participant_id")).alias("plain"), center["participant_id"].alias("participant"), F.array_join(center["subsets"], ",").alias("subsets"))
+
+
+def typed_structures(spark, d):
+    v = read_table(spark, d, "content_values").select("ord", F.explode(tx.body_structures(F.concat_ws(",", F.concat_ws(":", "code", "source_value"), "source_category"))).alias("s"))
+    return v.select("ord", "s.code", "s.display")
+
+
+def subject_refs(spark, d):
+    t = read_table(spark, d, "destinations").where("source_id <> ''").groupBy("source_id")
+    t = t.agg(F.collect_set(F.nullif("specimen_ref", F.lit(""))).alias("s"), F.collect_set(F.nullif("subject_ref", F.lit(""))).alias("p"))
+    return t.select("source_id", tx.subject_reference(F.col("s"), F.col("p")).alias("subject"))
+
+
+def value_components(spark, d):
+    c = read_table(spark, d, "cases").where("age_at_diagnosis IS NOT NULL")
+    return c.select("ord", tx.component(F.lit("age"), F.col("age_at_diagnosis").cast("string"), "Integer", F.lit("http://x.invalid")).alias("component"))
+
+
+def stored_answers(spark, d):
+    """Answers written as the agents store them, and read back."""
+    m = _candidates(spark, d).where("score IS NOT NULL AND NOT isnan(score) AND target <> ''")
+    said = F.concat(F.lit("CHOSEN TARGET: **"), "target", F.lit("**\nCONFIDENCE: "), F.format_number("score", 4), F.lit("\nREASONING: because of "), "tier")
+    a = tx.parse_answer(said)
+    return m.select("ord", a["target"].alias("target"), F.round(a["confidence"], 4).alias("confidence"), a["reasoning"].alias("reasoning"))
+
+
+def _rules(spark, d):
+    m = read_table(spark, d, "mapping_entries").where("source_term IS NOT NULL AND destination IS NOT NULL")
+    ref = F.array(F.struct(F.split_part("destination", F.lit("."), F.lit(1)).alias("resource"), F.lit("subject").alias("field")))
+    none = F.lit(None).cast("array<struct<field:string,type:string,system:string,code:string,category:string>>")
+    return rules.explode_rules(m.select(F.col("source_term").alias("node"), F.col("destination_resource").alias("resource_type"), none.alias("fields"), ref.alias("references"), F.array(F.coalesce("tier", F.lit(""))).alias("category"), F.lit(None).cast("boolean").alias("missing_in_schematic"), "ord"))
+
+
+def rules_found(spark, d):
+    return rules.filter_rules(_rules(spark, d), source="A", category="Field", has_reference_to="observation", min_confidence=0.5).select("ord", "rule_id", "target_resource")
+
+
+def rules_stats(spark, d):
+    return rules.rule_stats(_rules(spark, d))
+
+
+def tier_summary(spark, d):
+    return fhir.tier_summary(fhir.pair_usage(fhir.mapping_pairs(_nodes(spark, d), F.col("source"))))
+
+
+def resource_counts(spark, d):
+    return fhir.resource_counts(_records(spark, d))
+
+
+def mined_merge(spark, d):
+    """Records walked, pairs counted, and those the base lacks: what the loader inserts."""
+    usage = fhir.pair_usage(fhir.mapping_pairs(_nodes(spark, d), F.col("source")))
+    return fhir.merge_pairs(_kb(spark, d), usage).select("id", "source_term", "destination", "tier")
+
+
 # feedback
 def feedback_stats(spark, d):
     return feedback.stats(feedback.clean(read_table(spark, d, "feedback")))
@@ -535,7 +691,9 @@ _ALL = (
     conflicts_destination, conflicts_schema, multi_destinations, resolve_priority, resolve_frequency, resolve_equivalent, resolve_clinical, canonical_rows, normalization_report, hitl_export,
     ground_truth_metrics, valid_paths, passthrough_fix, focus_refs, path_validation,
     rule_match_topk, rule_match_metadata, fuzzy_pairs, fuzzy_lookup, expert_match, ensemble_scores, confidence_levels, dedupe_matches, tier_run, nearest_vectors, match_tables, rank_metrics, top1_outcomes,
-    calib_keys, calib_curve, calib_curve_compat, calib_ece, calib_scores,
+    calib_keys, calib_curve, calib_curve_compat, calib_ece, calib_scores, calib_top_keys, tier_metrics, flat_calibration, calib_compare, common_destinations,
+    csv_header_scan, entity_targets, compound_lookup, tool_lookup, vector_search, catalog_search, catalog_fields, catalog_paths, record_codes, id_checks, typed_structures, subject_refs,
+    value_components, stored_answers, rules_found, rules_stats, tier_summary, resource_counts, mined_merge,
     profile_columns, profile_samples, content_types, content_types_compat, target_candidates, table_profiles, column_relations, profile_summary, schema_summary,
     json_field_usage, json_coding_usage, json_coding_systems, json_reference_usage, json_pair_usage, ground_truth_rows, url_terms, name_parts, name_variants, characteristics, minted_ids, category_paths,
     feedback_stats, feedback_recent, feedback_new_mappings, consensus_vote, stream_feedback_stats, stream_windows,

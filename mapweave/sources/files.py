@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LINE_SCHEMA = "file string, line_no long, json string"
-
 
 def read_csvs(spark: SparkSession, sources: str | dict[str, str], sep: str = ",") -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Named tables from one or several CSV files with a header (the name of a single one is its stem), and
@@ -24,6 +22,14 @@ def read_csvs(spark: SparkSession, sources: str | dict[str, str], sep: str = ","
     return good, bad
 
 
+def scan_csv(spark: SparkSession, path: str, rows: int = 200, values: int = 3, width: int = 60, limit: int | None = None) -> DataFrame:
+    """profile.header_scan of a CSV file, in the order of its lines."""
+    from mapweave.operators.profile import header_scan
+
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).limit(rows)
+    return header_scan(df.withColumn("_line", F.monotonically_increasing_id()), "_line", rows, values, width, limit)
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """Nested structs as dotted columns; arrays stay."""
 
@@ -45,24 +51,15 @@ def read_ndjson(spark: SparkSession, path: str, flat: bool = True) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, json): the lines of text files with their numbers from 1.
 
-    A file is read by one task, as a line's number needs those before it; keep very large inputs in many
-    files, as exports of records per resource are.
+    Files are read in splits, however large they are: a line's place in its split is added to the lines of the
+    splits before it, which are counted first. Lines end with a line feed only.
     """
-    import pyarrow as pa
-
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-
-    def number(batches):
-        for batch in batches:
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = text.split("\n")
-                if lines and lines[-1] == "":
-                    lines.pop()
-                for lo in range(0, len(lines), 10_000):
-                    part = lines[lo : lo + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part), pa.string()), pa.array(range(lo + 1, lo + 1 + len(part)), pa.int64()), pa.array(part, pa.string())], ["file", "line_no", "json"])
-
-    return whole.mapInArrow(number, LINE_SCHEMA)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("json"))
+    splits = lines.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_lines"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_lines").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "_start", (before + 1 - F.col("_first")).alias("_shift"))
+    return lines.join(splits, ["file", "_start"]).select("file", (F.col("_id") + F.col("_shift")).alias("line_no"), "json")
 
 
 def count_records(lines: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mapweave.operators import calibrate
 from mapweave.operators.feedback import DECISIONS
+from mapweave.util import remove_path, scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -54,13 +55,21 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a query over what is there now and give its result as a table in memory: for tests and small results."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a query over what is there now and give its result, a table in the shared folder: in mode append what all batches gave, in mode
+    complete what the last one gave. The checkpoint is kept in the shared folder too and removed afterwards, unless one
+    is named. A batch that is run again overwrites itself."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+    at = checkpoint or scratch_path(spark, f"{name}-checkpoint")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(path if mode == "complete" else f"{path}/batch=-1")
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    if not checkpoint:
+        remove_path(spark, at)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def merge_usage(path: str) -> Callable[[DataFrame, int], None]:

@@ -13,24 +13,43 @@ HOT_SHARE = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the setting is absent."""
+    """The folder all executors share (spark.checkpoint.dir). Where the setting is absent, a temporary one, in local mode
+    only: on a cluster each executor would write to its own disk, so there its absence is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="mapweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Tables written by this process and not removed yet.
+_KEPT: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/mapweave-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/mapweave-{name}-{uuid.uuid4().hex[:12]}"
+    _KEPT.add(path)
+    return path
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _KEPT.discard(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove every table that results of this process are read from, and give their number: to be called when the results
+    are written or no longer wanted. Tables an operator has consumed are removed by itself."""
+    kept = list(_KEPT)
+    for path in kept:
+        remove_path(spark, path)
+    return len(kept)
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -167,8 +167,8 @@ def test_conflicts(spark, kb):
     assert [r.destination for r in normalize.auto_resolve(m, [("Patient.sex", "Patient.gender")]).collect()] == ["Patient.sex"]
     fields = spark.createDataFrame([("Patient", "gender"), ("Condition", "stage")], "class string, slot string")
     v = {r.path: (r.valid, r.issue) for r in normalize.validate_path(terms(spark, "Patient.gender.x", "patient.gender", "Patient.Gender", "Patient.nci_x", "Foo.bar", "Patient", "Patient.zz", name="path"), fields).collect()}
-    assert v["Patient.gender.x"] == (True, "") and v["Foo.bar"][1] == "unknown resource: Foo" and v["Patient"][1] == "no dot separator" and v["Patient.zz"][1] == "unknown field: zz"
-    assert v["patient.gender"][1] == "case mismatch: should be 'Patient'" and v["Patient.Gender"][1] == "case mismatch: should be 'gender'" and v["Patient.nci_x"][1].startswith("custom field")
+    assert v["Patient.gender.x"] == (True, "") and v["Foo.bar"][1] == "no class Foo" and v["Patient"][1] == "no field" and v["Patient.zz"][1] == "no slot zz"
+    assert v["patient.gender"][1] == "class spelled Patient" and v["Patient.Gender"][1] == "slot spelled gender" and v["Patient.nci_x"][1] == "local slot nci_x"
 
 
 TYPES = [

@@ -1,6 +1,10 @@
 import json
 from datetime import datetime
+from types import SimpleNamespace
 
+import pytest
+
+from mapweave import util
 from mapweave.operators import calibrate, fhir, normalize
 from mapweave.sources import files
 from mapweave.streaming import feedback as st
@@ -84,3 +88,42 @@ def test_usage_and_summaries(spark, tmp_path):
     a = spark.createDataFrame([("m", "field", 0.5, 0.2)], "matcher string, tier string, accuracy double, ece double")
     r = calibrate.compare_runs(a, a.selectExpr("matcher", "tier", "accuracy + 0.25 AS accuracy", "ece")).first()
     assert (r.accuracy_delta, r.ece_delta) == (0.25, 0.0)
+
+
+def test_lines_are_numbered_over_the_splits_of_a_file(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 3), ("c", 0)):
+        (tmp_path / f"{name}.ndjson").write_text("".join(f'{{"k": {k}}}\n' if k % 7 else "\n" for k in range(n)), encoding="utf-8")
+    (tmp_path / "d.ndjson").write_text("x\ny", encoding="utf-8")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        got = files.read_lines(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() >= 1
+        rows = {(r.file.rsplit("/", 1)[1][0], r.line_no): r.json for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(rows) == 5005 and all(rows["a", k + 1] == (f'{{"k": {k}}}' if k % 7 else "") for k in range(5000))
+    assert rows["d", 1] == "x" and rows["d", 2] == "y" and ("b", 3) in rows
+
+
+def test_a_csv_is_scanned_from_its_head(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("﻿id,note,empty\n" + "".join(f"{k},{'x' * 80 if k == 1 else ''},\n" for k in range(10)), encoding="utf-8")
+    got = {r.column_name: (r.position, r.samples) for r in files.scan_csv(spark, str(path), rows=5, values=3).collect()}
+    assert got == {"id": (0, ["0", "1", "2"]), "note": (1, ["x" * 60]), "empty": (2, [])}
+    assert [r.column_name for r in files.scan_csv(spark, str(path), limit=1).collect()] == ["id"]
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster(spark):
+    conf = SimpleNamespace(get=lambda *_: None)
+    none = SimpleNamespace(isDefined=lambda: False)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            util.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, _jsc=jsc)))
+
+
+def test_results_tables_can_be_released(spark):
+    table, path = util.materialize(spark.range(3), "kept")
+    assert table.count() == 3 and util.release(spark) >= 1
+    assert path not in util._KEPT and util.release(spark) == 0
