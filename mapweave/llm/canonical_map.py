@@ -349,7 +349,9 @@ def learn_phrases(distinct: DataFrame, names: DataFrame, entries: int = PHRASE_E
     """Segments that qualify a value and don't name it: those that stand beside the names of at least `entries`
     different entries, the rest of the value being a name word by word. Learnt from all values, joined with the
     names by their words; the phrases themselves are few, and more than MOST_PHRASES are an error."""
-    found = spread(distinct).mapInPandas(_beside, "category string, key string, phrase string")
+    # a value without a mark has one segment
+    marked = distinct.where(F.col("value").rlike(r"[\[\](){}/:,;?*=]|[\s\p{Z}][-‐-―]+[\s\p{Z}]|\.[\s\p{Z}]"))
+    found = spread(marked).mapInPandas(_beside, "category string, key string, phrase string")
     found = found.join(names.select("category", _key("name").alias("key"), "term_id"), ["category", "key"])
     found = found.groupBy("phrase").agg(F.countDistinct("category", "term_id").alias("n")).where(F.col("n") >= entries)
     rows = found.select("phrase").limit(MOST_PHRASES + 1).collect()
