@@ -181,7 +181,18 @@ def longest(item: list[int], p: int, doc: list[int], j: int, before: int, gap_i:
     """Words of the longest passage of the item around a seed that the document holds with at most one word in
     WORDS_PER_EDIT edited; 0 if no such passage has MIN_WORDS."""
     inside, edits = before + gap_i + after, max(gap_i, gap_d)
-    most = len(item) // WORDS_PER_EDIT + 1
+    # A passage has its matching words and at most one word for each edit. Matching words are words of the item that
+    # the document has on that side, as far as a passage can reach: with so many of them, more edits than this
+    # can't be paid for.
+    reach = len(item) // WORDS_PER_EDIT + 2
+    beyond, behind = p + inside, j + before + gap_d + after
+    known = set(doc[max(0, j - p - reach) : j])
+    matching = inside + sum([w in known for w in item[:p]])
+    known = set(doc[behind : behind + len(item) - beyond + reach])
+    matching += sum([w in known for w in item[beyond:]])
+    most = (matching - WORDS_PER_EDIT * edits) // (WORDS_PER_EDIT - 1)
+    if most < 0 or matching + most < MIN_WORDS:
+        return 0
     left = reaches(item, p - 1, doc, j - 1, -1, most) if p and j else [0] + [min(k + 1, p) for k in range(2)]
     q, r = p + inside, j + before + gap_d + after
     right = reaches(item, q, doc, r, 1, most) if q < len(item) and r < len(doc) else [0] + [min(k + 1, len(item) - q) for k in range(2)]
