@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from mapweave.functions import text as tx
 from mapweave.plans.oracle import _BIN, _BIN_COMPAT, _CODED, _LEVEL, _PAIRS_MINED, _PRED, _in, _kb, _vector
+from mapweave.plans.oracle_profile import TABLES
 from mapweave.plans.queries import ENTITY_RESOURCES
 
 _HEAD = ("participant_id", "age_at_diagnosis", "primary_diagnosis", "vital_status", "gender", "race")
@@ -41,6 +42,14 @@ _OUTCOMES = (
 )
 
 
+def _column_texts(name: str, table: str, columns: tuple[str, ...]) -> str:
+    """A text for each column: its name twice and the ten values that sort first."""
+    cells = " UNION ".join(f"SELECT '{c}' AS c, CAST({c} AS VARCHAR) AS value FROM {table}" for c in columns)
+    names = ", ".join(f"('{c}')" for c in columns)
+    return f"""{name} AS (SELECT c, c || ' ' || c || ': ' || coalesce(string_agg(value, ', ' ORDER BY value) FILTER (rn <= 10), '') AS text FROM (VALUES {names}) AS n(c) LEFT JOIN (
+      SELECT *, row_number() OVER (PARTITION BY c ORDER BY value) AS rn FROM ({cells}) AS x WHERE value <> '') AS y USING (c) GROUP BY c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     heads = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {k} AS position, ord, CAST({c} AS VARCHAR) AS value FROM (SELECT * FROM cases ORDER BY ord LIMIT 200) AS h" for k, c in enumerate(_HEAD))
     names = ", ".join(f"('{c}', {k})" for k, c in enumerate(_HEAD))
@@ -79,6 +88,8 @@ def oracle_sql() -> dict[str, str]:
             _CODED, _PAIRS_MINED,
             "mined AS (SELECT term, path, count(*) AS n, CASE WHEN arg_min(pair_type, (ord, k, pair_type)) = 'content' THEN 'content' ELSE 'field' END AS tier FROM pairs GROUP BY term, path)",
         ),
+        "match_tables_all": f"""WITH {_column_texts("a", "cases", ("ord", *TABLES["cases"]))}, {_column_texts("b", "content_values", ("ord", *TABLES["content_values"]))}
+            SELECT a.c AS source, b.c AS target, round(list_cosine_similarity({_vector("a.text")}, {_vector("b.text")}), 6) AS score FROM a, b""",
         "calib_top_keys": _kb("SELECT * FROM (SELECT *, split_part(key, ':', 1) AS matcher, CAST(row_number() OVER (PARTITION BY split_part(key, ':', 1) ORDER BY n_total DESC, key) AS INT) AS rank FROM stats) AS x ORDER BY n_total DESC, key LIMIT 15", _PRED),
         "tier_metrics": _kb(
             f"""SELECT tier, count(*) AS total, count(*) FILTER (level = 'high') AS high, count(*) FILTER (level = 'medium') AS medium, count(*) FILTER (level = 'low') AS low, count(*) FILTER (coalesce(requires_hitl, false)) AS review,

@@ -285,6 +285,12 @@ def match_tables(spark, d):
     return match.match_tables(read_table(spark, d, "sources"), read_table(spark, d, "mapping_entries")).select("source", "target", F.round("score", 6).alias("score"))
 
 
+def match_tables_all(spark, d):
+    """Every pair of columns, before one is chosen for each."""
+    found = match.match_tables(read_table(spark, d, "cases"), read_table(spark, d, "content_values"), one_to_one=False)
+    return found.select("source", "target", F.round("score", 6).alias("score"))
+
+
 def rank_metrics(spark, d):
     m = _candidates(spark, d).where("score IS NOT NULL AND NOT isnan(score)")
     best = m.groupBy("tier", "source_field", "target").agg(F.max("score").alias("score"), F.min("ord").alias("ord"), F.bool_or(F.coalesce("user_feedback", F.lit(False))).alias("hit"))
@@ -690,7 +696,7 @@ _ALL = (
     content_by_path, kb_merge, kb_merge_counted, kb_without_destination, kb_multi_destination, kb_counts, kb_top_destinations, kb_repair_counts, kb_path_fixes, kb_delete_like,
     conflicts_destination, conflicts_schema, multi_destinations, resolve_priority, resolve_frequency, resolve_equivalent, resolve_clinical, canonical_rows, normalization_report, hitl_export,
     ground_truth_metrics, valid_paths, passthrough_fix, focus_refs, path_validation,
-    rule_match_topk, rule_match_metadata, fuzzy_pairs, fuzzy_lookup, expert_match, ensemble_scores, confidence_levels, dedupe_matches, tier_run, nearest_vectors, match_tables, rank_metrics, top1_outcomes,
+    rule_match_topk, rule_match_metadata, fuzzy_pairs, fuzzy_lookup, expert_match, ensemble_scores, confidence_levels, dedupe_matches, tier_run, nearest_vectors, match_tables, match_tables_all, rank_metrics, top1_outcomes,
     calib_keys, calib_curve, calib_curve_compat, calib_ece, calib_scores, calib_top_keys, tier_metrics, flat_calibration, calib_compare, common_destinations,
     csv_header_scan, entity_targets, compound_lookup, tool_lookup, vector_search, catalog_search, catalog_fields, catalog_paths, record_codes, id_checks, typed_structures, subject_refs,
     value_components, stored_answers, rules_found, rules_stats, tier_summary, resource_counts, mined_merge,

@@ -9,6 +9,7 @@ import pytest
 DATA = "/root/testdata/sf0.001"
 NAMES = (
     "p5_found p5_periods kb_lookup kb_lookup_context kb_training_pairs kb_merge conflicts_schema resolve_priority path_validation rule_match_topk fuzzy_lookup dedupe_matches "
+    "fuzzy_pairs cascade_constrained vector_search flat_calibration tool_lookup mined_merge content_types column_relations hitl_export ground_truth_rows minted_ids match_tables_all "
     "tier_run calib_curve calib_scores profile_columns json_coding_usage json_pair_usage feedback_stats consensus_vote stream_feedback_stats cascade_map eval_report"
 ).split()
 
@@ -59,15 +60,6 @@ def test_reverse_lookup_asks_the_paths_of_every_matcher(spark, sql):
     assert known & asked <= got <= asked
 
 
-def test_more_settings_than_the_bound_are_an_error(spark, tmp_path):
-    import __spark_entry__ as entry
-
-    spark.range(1001).selectExpr("CAST(id AS STRING) AS setting", "64 AS max_tokens", "0 AS overlap_tokens").write.parquet(str(tmp_path / "split_settings.parquet"))
-    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    with pytest.raises(ValueError, match="split_settings"):
-        entry.queries()["p8_pieces"](spark, str(tmp_path))
-
-
 def test_every_sql_has_a_query():
     import __spark_entry__ as entry
 
