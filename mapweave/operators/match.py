@@ -127,8 +127,8 @@ def fuzzy_lookup(queries: DataFrame, terms: DataFrame, least: float = FUZZY_GATE
         return F.when(n > 11, head).when(n > 0, F.array(F.array_join(t, " "))) if least / 0.6 > 11 / 12 - 1e-9 else head
 
     def contained(short: DataFrame, x: str, long: DataFrame, y: str) -> DataFrame:
-        """Pairs of which a head of x stands in y."""
-        keys = short.select(x, F.explode(heads(F.col(x))).alias("_k")).where(F.length("_k") > 0)
+        """Pairs of which x stands in y, or the stem of x in that of y, found by a head of x."""
+        keys = short.select(x, F.lower(x).alias("_x"), tx.stem(F.col(x)).alias("_xs"), F.explode(heads(F.col(x))).alias("_k")).where(F.length("_k") > 0)
         lengths = sorted(r.n for r in keys.select(F.length("_k").alias("n")).distinct().collect())  # HEAD at most
         few = keys.limit(MOST_HEADS + 1).count() <= MOST_HEADS
         low = F.lower(F.col(y))
@@ -138,8 +138,9 @@ def fuzzy_lookup(queries: DataFrame, terms: DataFrame, least: float = FUZZY_GATE
 
         parts = F.array_distinct(F.flatten(F.array(*map(of_length, lengths or [1]))))
         # keys are many times the rows their size is guessed from, so that side is never to be broadcast
-        inside = long.withColumn("_k", F.explode(parts))
-        return inside.join(F.broadcast(keys), "_k").select("query", "source") if few else inside.hint("merge").join(keys, "_k").select("query", "source")
+        inside = long.select(y, low.alias("_y"), tx.stem(F.col(y)).alias("_ys"), F.explode(parts).alias("_k"))
+        found = inside.join(F.broadcast(keys), "_k") if few else inside.hint("merge").join(keys, "_k")
+        return found.where(F.col("_y").contains(F.col("_x")) | F.col("_ys").contains(F.col("_xs"))).select("query", "source")
 
     def pairs(x: Column, y: Column) -> DataFrame:
         return q.withColumn("_k", F.explode(x)).join(s.withColumn("_k", F.explode(y)).hint("merge"), "_k").select("query", "source")
