@@ -1,5 +1,6 @@
 """The vector index, whole calibrations, SQL functions, and small record functions."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,36 @@ def test_index_search_equals_all_pairs_in_blocks(spark, kb, tmp_path, monkeypatc
     assert {(r["query"], r.id, r["rank"]) for r in index.search(asked, 4).collect()} == want
 
 
+def test_index_hashes_grams_once_and_compares_in_one_pass(spark, kb, tmp_path, monkeypatch):  # noqa: F811
+    names = ["sex", "a", "Größe ÄÖ", "İstanbul", "  x  ", "aaaaaa", "treatment: retina; code: 7", "日本語の名前"]
+    pairs = spark.createDataFrame([(n, f"P.{k}") for n in names for k in range(3)], "source string, target string")
+    want = {r.source: r.v for r in pairs.select("source", match.hash_embedding(F.col("source")).alias("v")).collect()}
+    monkeypatch.setattr(match, "hash_embedding", None)  # it hashes each gram for every place of the vector
+    monkeypatch.setattr(match, "QUERY_BLOCK", 2)
+    index = vectors.VectorIndex(spark, str(tmp_path / "index"))
+    index.build(kb)
+    index.upsert(pairs)
+    entries = {(r.source, r.target): r.vec for r in index.entries().collect()}
+    assert len(entries) == 5 + 24 and all(entries[n, f"P.{k}"] == want[n] for n in names for k in range(3))
+    found = index.search(terms(spark, *names, name="query"), 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {(r["query"], r["rank"]): r.target for r in found.collect()}
+    assert [got[n, k] for n in names[1:] for k in (1, 2)] == ["P.0", "P.1"] * 7
+
+
+@pytest.mark.parametrize("batch, step", [(1, 1), (3, 4), (50, 7), (400, 64)])
+def test_best_entries_equal_all_pairs_with_ties(batch, step):
+    random = np.random.default_rng(5)
+    v, q = (random.poisson(0.3, (n, 6)).astype(np.float64) + np.eye(6)[random.integers(0, 6, n)] for n in (400, 40))
+    best = vectors._Best(q, 5)
+    for a in range(0, 400, batch):
+        used = best.add(v[a : a + batch], step)
+        assert set(best.at[best.at >= a].tolist()) == set(used.tolist())
+    s = np.round(q @ v.T / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))), 9)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    assert (best.at == want).all() and (best.score == np.take_along_axis(s, want, 1)).all()
+
+
 def test_calibrators_are_built_saved_and_opened(spark, tmp_path):
     p = spark.createDataFrame(
         [("a", "field", "x", "P.b", 0.95, 1), ("a", "field", "x", "P.c", 0.5, 2), ("a", "field", "y", "P.c", 0.85, 3), ("a", "entity", "x", "P", 1.0, 4), ("b", "field", "x", "P.c", 0.25, 5)],
